@@ -1,0 +1,2 @@
+"""Intentionally empty: all inputs of this domain are batch files, so no
+streaming operator is offered."""
