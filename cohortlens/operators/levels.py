@@ -36,16 +36,14 @@ def codebook_name(file_name: str) -> str:
 
 
 def codebook_subscales(codebook: DataFrame) -> DataFrame:
-    """Per subscale: its items in codebook order, their number and the highest
-    reachable sum.  Codebook columns: item, max_score, subscale, scale, position."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "item"))), lambda s: s["item"])
-    return codebook.groupBy("subscale").agg(
-        listed.alias("items"), F.count("*").alias("n_items"), F.sum("max_score").alias("max_total"))
+    """Per subscale: number of items and the highest reachable sum.  Codebook
+    columns: item, max_score, subscale, scale, position."""
+    return codebook.groupBy("subscale").agg(F.count("*").alias("n_items"), F.sum("max_score").alias("max_total"))
 
 
 def codebook_scales(codebook: DataFrame) -> DataFrame:
-    """Per scale: the set of its subscales."""
-    return codebook.groupBy("scale").agg(F.array_sort(F.collect_set("subscale")).alias("subscales"))
+    """The distinct subscales of each scale, one row each."""
+    return codebook.select("scale", "subscale").distinct()
 
 
 def level_map(codebook: DataFrame, scaling: bool = True) -> LevelMap:

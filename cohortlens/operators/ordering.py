@@ -68,15 +68,17 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence
     else:
         probs = [i / 64 for i in range(1, 64)]
         cuts = df.agg(F.percentile_approx(col(order), probs, SKETCH_ACCURACY).alias("cuts")).scalar()
-        bucket = F.size(F.filter(cuts, lambda c: c <= col(order)))
-    keyed = df.withColumn("_bucket", bucket)
+        # The place of a value among the sorted cuts is its bucket.
+        bucket = F.array_position(F.sort_array(F.array_append(F.col("_cuts"), col(order))), col(order)).cast("int")
+        df = df.withColumn("_cuts", cuts)
+    keyed = df.withColumn("_bucket", bucket).drop("_cuts")
     slots = [*keys, "_bucket"]
     counts = keyed.groupBy(*slots).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     earlier = Window.partitionBy(*[col(k) for k in keys], F.lit(0)).orderBy("_bucket")
     offsets = counts.select(
         *slots,
         F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*[col(k) for k in keys], F.lit(0))).alias("_size"),
+        F.sum("_n").over(Window.partitionBy(*[col(k) for k in keys], F.lit(0))).alias("_total"),
     )
     inside = Window.partitionBy(*slots).orderBy(col(order), *[col(t) for t in tiebreak])
     if weight:
@@ -85,8 +87,8 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence
         place = F.row_number().over(inside)
     ranked = join_on_keys(keyed, offsets, slots).withColumn(name, F.col("_before") + place)
     if size:
-        ranked = ranked.withColumn(size, F.col("_size"))
-    return ranked.drop("_bucket", "_before", "_size")
+        ranked = ranked.withColumn(size, F.col("_total"))
+    return ranked.drop("_bucket", "_before", "_total")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:

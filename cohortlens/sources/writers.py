@@ -38,7 +38,8 @@ def save_instrument(df: DataFrame, path: str, descriptions: Sequence[str]) -> st
     spark: SparkSession = df.sparkSession
     text = df.select(*[col(c).cast("string").alias(c) for c in df.columns])
     line = spark.createDataFrame([tuple(descriptions)], text.schema).coalesce(1)
-    line.unionAll(text).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    line.unionAll(text).write.mode("overwrite").options(
+        header=True, sep="\t", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
 
