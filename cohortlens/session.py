@@ -21,6 +21,7 @@ def build_session(app_name: str = "cohortlens", master: str | None = None, **con
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update({key.replace("__", "."): str(value) for key, value in conf.items()})
@@ -54,17 +55,24 @@ def written(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 INFERENCE = "spark.sql.constraintPropagation.enabled"
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 MANY_COLUMNS = 6
 
 
 def allow_wide(df, columns) -> None:
-    """Turn off filter inference in the session when a plan filters on many
-    computed columns.
-
-    The optimizer derives constraints by substituting every computed column in
-    every known constraint, which doubles their number per column: with a few
-    dozen recoded items planning would never end.  All inference adds here are
-    not-null filters on join keys.
+    """Session settings for plans over many computed columns; they can be
+    changed at run time and stay as the user set them otherwise.
+
+    * The JVM does not compile methods above 8,000 bytes of code, and a fused
+      stage over a few recoded items is larger: it would run interpreted, about
+      ten times slower.  With this limit Spark splits such expressions instead.
+    * Filter inference substitutes every computed column in every known
+      constraint, which doubles their number per column: with a few dozen
+      recoded items planning would never end.  All it would add here are
+      not-null filters on join keys.
     """
-    if len(columns) > MANY_COLUMNS and df.sparkSession.conf.get(INFERENCE, "true") == "true":
-        df.sparkSession.conf.set(INFERENCE, "false")
+    conf = df.sparkSession.conf
+    if int(conf.get(METHOD_LIMIT, "65535")) > 8000:
+        conf.set(METHOD_LIMIT, "8000")
+    if len(columns) > MANY_COLUMNS and conf.get(INFERENCE, "true") == "true":
+        conf.set(INFERENCE, "false")

@@ -24,8 +24,8 @@ _OBS = {
     "instrument": "l_returnflag",
     "i1": "CASE WHEN l_partkey%11=0 THEN 999 WHEN l_partkey%13=0 THEN -9 ELSE CAST(l_quantity AS INT)%6 END",
     "i2": "CASE WHEN l_suppkey%7=0 THEN NULL ELSE CAST(l_quantity AS INT)%4 END",
-    "i3": "CASE WHEN l_partkey%5=0 THEN NULL ELSE CAST(ROUND(l_tax*100) AS INT)%4 END",
-    "i4": "CASE WHEN l_suppkey%9=0 THEN 999 ELSE CAST(ROUND(l_discount*100) AS INT)%4 END",
+    "i3": "CASE WHEN l_partkey%5=0 THEN NULL ELSE CAST(floor(l_tax*100+0.5) AS INT)%4 END",
+    "i4": "CASE WHEN l_suppkey%9=0 THEN 999 ELSE CAST(floor(l_discount*100+0.5) AS INT)%4 END",
     # Standard scores with floor values and two sentinels.
     "m1": "CASE WHEN l_partkey%11=0 THEN 777 WHEN l_partkey%13=0 THEN -1 ELSE CAST(l_quantity AS INT)+18 END",
     "m2": "CASE WHEN l_suppkey%7=0 THEN NULL WHEN l_suppkey%9=0 THEN 999 ELSE CAST(l_quantity AS INT)+19 END",
