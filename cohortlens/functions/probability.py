@@ -15,7 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 _TINY = 1e-300
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.fromiter((math.lgamma(v) for v in np.ravel(x)), float, np.size(x)).reshape(np.shape(x))
 
 
 def beta_cdf(a, b, x):

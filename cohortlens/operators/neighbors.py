@@ -34,12 +34,12 @@ MAX_ANCHORS = 1000
 def _cells(train: DataFrame, features: Sequence[str], by: Sequence[str], block_rows: int):
     """Cell number of a train row, and how many cells there can be per group.
 
-    Small aggregates size the grid: rows, groups, and the features with the
-    widest spread.  Cells of all groups together stay below MAX_CELLS.
+    Small aggregates size the grid: first rows and groups, and only if there
+    are enough for a grid the features with the widest spread and their
+    quantiles.  Cells of all groups together stay below MAX_CELLS.
     """
     groups = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
-    sizes = train.agg(F.count("*").alias("n"), groups.alias("groups"),
-                      F.array(*[F.coalesce(F.var_samp(col(c)), F.lit(0.0)) for c in features]).alias("spread")).first()
+    sizes = train.agg(F.count("*").alias("n"), groups.alias("groups")).first()
     wanted = min(MAX_CELLS // max(2 * sizes["groups"], 1), sizes["n"] // (4 * block_rows))
     dims = 0
     while dims < min(MAX_BINNED, len(features)) and 3 ** (dims + 1) <= wanted:
@@ -49,7 +49,8 @@ def _cells(train: DataFrame, features: Sequence[str], by: Sequence[str], block_r
     bins = 2
     while (bins + 2) ** dims <= wanted:
         bins += 1
-    chosen = [features[i] for i in np.argsort(-np.asarray(sizes["spread"]), kind="stable")[:dims]]
+    spread = train.agg(F.array(*[F.coalesce(F.var_samp(col(c)), F.lit(0.0)) for c in features])).first()[0]
+    chosen = [features[i] for i in np.argsort(-np.asarray(spread), kind="stable")[:dims]]
     probs = [i / bins for i in range(1, bins)]
     cuts = train.agg(*[F.percentile_approx(col(c), probs, 1000).alias(c) for c in chosen]).first()
     cell = F.lit(0)
