@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import written
+
 # Upper bounds in months of the age periods; anything not inside
 # (0, 204), including 204 itself and NULL, is the last period.
 AGE_PERIODS = (("P1", 30), ("P2", 72), ("P3", 156))
@@ -19,6 +21,9 @@ LAST_PERIOD = "P5"
 CEILING_TOKENS = {">90": 91.0, "?90": 90.0}
 MISSING_TOKENS = ("999", "999.0", "888", "-9", '"', ".")
 
+# A per-group summary of at most this many rows is broadcast.
+SUMMARY_ROWS = 50_000
+
 # Beyond this many inputs a row expression goes through an array, so that the
 # generated method stays below the JVM's 64 KB limit.
 WIDE_ROW = 80
@@ -188,7 +193,7 @@ def with_min_max(df: DataFrame, features: Sequence[str], by: Sequence[str] = ())
     """
     limits = [F.struct(F.min(col(c)).alias("lo"), F.max(col(c)).alias("hi")).alias(c) for c in features]
     if by:
-        source = join_on_keys(df, df.groupBy(*by).agg(F.struct(*limits).alias("_limits")), by)
+        source = join_summary(df, df.groupBy(*by).agg(F.struct(*limits).alias("_limits")), by)
     else:
         source = df.withColumn("_limits", df.agg(F.struct(*limits).alias("_limits")).scalar())
     lim = F.col("_limits")
@@ -206,6 +211,18 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def join_summary(left: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a per-group summary to the rows it came from.
+
+    The summary is written (one small job) and counted: up to SUMMARY_ROWS rows
+    it is broadcast, so the rows stay where they are; beyond that the join
+    shuffles, and adaptive execution splits skewed groups.
+    """
+    table = written(summary, "summary")
+    small = table.count() <= SUMMARY_ROWS
+    return join_on_keys(left, F.broadcast(table) if small else table, keys, how)
+
+
 def to_long(df: DataFrame, ids: Sequence[str], features: Sequence[str],
             name: str = "feature", value: str = "value") -> DataFrame:
     """One row per (row, feature)."""

@@ -175,7 +175,8 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = 50) -> DataFra
     span = F.col("_hi") - F.col("_lo")
     position = F.when(span > 0, (F.col("value") - F.col("_lo")) / span).otherwise(0.5)
     number = F.least(F.floor(position * bins), F.lit(bins - 1)).cast("int")
-    return values.join(ends, "feature").groupBy("feature", number.alias("bin")).agg(F.count("*").alias("n"))
+    # One row per feature of the call.
+    return values.join(F.broadcast(ends), "feature").groupBy("feature", number.alias("bin")).agg(F.count("*").alias("n"))
 
 
 # ---- reports ----------------------------------------------------------------

@@ -153,8 +153,8 @@ def inject_mar(df: DataFrame, features: Sequence[str], alpha: float = 0.20, row_
 
     Each row draws one of ``patterns`` random patterns (bit 0: the feature is
     lost; the pattern losing nothing is skipped).  Within a pattern rows are
-    cut at the quartiles of a weighted sum of the features the pattern leaves;
-    the lowest quarter has odds 1 and the others draw odds 0 to 4, and a row is
+    cut at the quartiles of a weighted sum of the features the pattern leaves,
+    equal sums together; the lowest quarter has odds 1 and the others draw odds 0 to 4, and a row is
     hit with probability alpha * odds / mean odds.  A pattern's only row is
     always hit.
     """
@@ -165,8 +165,12 @@ def inject_mar(df: DataFrame, features: Sequence[str], alpha: float = 0.20, row_
     kept = {c: bit(i, 2) == 1 for i, c in enumerate(features)}
     weighted = X.row_sum([F.when(kept[c] & (bit(i, 3) == 1), col(c)) for i, c in enumerate(features)])
     marked = df.withColumn("_pattern", pattern).withColumn("_sum", weighted)
-    ranked = with_rank(marked, [*by, "_pattern"], "_sum", [row_id], "_rank", "_size", span=None)
-    quarter = F.floor(4 * (F.col("_rank") - 1) / F.col("_size"))
+    # Equal sums collapse before they are ranked, however many rows share one.
+    slot = [*by, "_pattern", "_sum"]
+    sums = with_rank(marked.groupBy(*slot).agg(F.count("*").alias("_c")), slot[:-1], "_sum", [], "_upto", "_size",
+                     span=None, weight="_c")
+    ranked = join_on_keys(marked, sums, slot)
+    quarter = F.floor(4 * (F.col("_upto") - F.col("_c")) / F.col("_size"))
     odds = [F.lit(1.0)] + [F.pmod(F.xxhash64(F.lit(seed * 1000 + 4), F.col("_pattern"), F.lit(q)), F.lit(5)).cast("double")
                            for q in (1, 2, 3)]
     mine = reduce(lambda acc, q: acc.when(quarter == q, odds[q]), (1, 2, 3), F.when(quarter == 0, odds[0]))

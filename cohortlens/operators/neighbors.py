@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.columns import col, join_on_keys, nan_to_null
+from ..functions.columns import col, join_on_keys, join_summary, nan_to_null
 from ..session import allow_wide
 from .ordering import first_rows, hash32
 
@@ -32,7 +32,8 @@ MAX_ANCHORS = 1000
 
 
 def _cells(train: DataFrame, features: Sequence[str], by: Sequence[str], block_rows: int):
-    """Cell number of a train row, and how many cells there can be per group.
+    """Cell number of a train row, how many cells there can be per group, and
+    about how many groups there are.
 
     Small aggregates size the grid: first rows and groups, and only if there
     are enough for a grid the features with the widest spread and their
@@ -45,7 +46,7 @@ def _cells(train: DataFrame, features: Sequence[str], by: Sequence[str], block_r
     while dims < min(MAX_BINNED, len(features)) and 3 ** (dims + 1) <= wanted:
         dims += 1
     if not dims:
-        return F.lit(0), 1
+        return F.lit(0), 1, sizes["groups"]
     bins = 2
     while (bins + 2) ** dims <= wanted:
         bins += 1
@@ -57,7 +58,7 @@ def _cells(train: DataFrame, features: Sequence[str], by: Sequence[str], block_r
     for c in chosen:
         above = reduce(lambda a, b: a + b, [(col(c) >= F.lit(float(x))).cast("int") for x in cuts[c] or []], F.lit(1))
         cell = cell * (bins + 1) + F.when(col(c).isNull(), 0).otherwise(above)
-    return cell, (bins + 1) ** dims
+    return cell, (bins + 1) ** dims, sizes["groups"]
 
 
 def _matrix(pdf: pd.DataFrame, features: Sequence[str]) -> np.ndarray:
@@ -152,7 +153,7 @@ def _nearest(train: DataFrame, query: DataFrame, features: Sequence[str], k: int
     if fill:
         query = query.filter(reduce(lambda a, b: a | b, [col(c).isNull() for c in features]))
     id_type, by_fields = train.schema[row_id].dataType, [train.schema[c] for c in by]
-    cell, n_cells = _cells(train, features, by, block_rows)
+    cell, n_cells, n_groups = _cells(train, features, by, block_rows)
     placed = train.withColumn("_cell", cell)
     slot = [*by, "_cell"]
 
@@ -175,6 +176,8 @@ def _nearest(train: DataFrame, query: DataFrame, features: Sequence[str], k: int
                           "lo": np.nan_to_num(lo), "hi": np.nan_to_num(hi), "count": number("_count")}
         boxes = spark.sparkContext.broadcast(boxes)
     sizes = summary.select(*slot, F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks"))
+    if n_groups * n_cells <= MAX_CELLS:
+        sizes = F.broadcast(sizes)
 
     packed = T.StructType([*by_fields, T.StructField("_cell", T.IntegerType()),
                            T.StructField("_ids", T.ArrayType(id_type)), T.StructField("_m", T.BinaryType())])
@@ -273,7 +276,9 @@ def _nearest(train: DataFrame, query: DataFrame, features: Sequence[str], k: int
 def nearest_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k: int, row_id: str = "subjectkey",
                       by: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest train rows of each query row: ``(*by, query_id,
-    neighbor_id, dist)``, ties by id.  ``by`` columns must agree."""
+    neighbor_id, dist)``, ties by id.  ``by`` columns must agree, and
+    ``row_id`` is unique within them.  Train is read several times: pass a
+    written table if it is expensive."""
     found = _nearest(train, query, features, k, row_id, by, False, block_rows)
     return first_rows(found, [*by, "query_id"], [F.col("dist"), F.col("neighbor_id")], k)
 
@@ -300,7 +305,7 @@ def impute_rows(train: DataFrame, rows: DataFrame, features: Sequence[str], k: i
         F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_fill"))
     means = F.struct(*[F.avg(nan_to_null(c)).alias(c) for c in features]).alias("_means")
     if by:
-        out = join_on_keys(rows, train.groupBy(*by).agg(means), by, "left")
+        out = join_summary(rows, train.groupBy(*by).agg(means), by, "left")
     else:
         out = rows.withColumn("_means", train.agg(means).scalar())
     out = join_on_keys(out, filled, [*by, row_id], "left")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import col, join_on_keys
+from ..functions.columns import col, join_on_keys, join_summary
 
 HASH_SPAN = 1 << 32
 SKETCH_ACCURACY = 10_000
@@ -23,12 +23,6 @@ def hash32(*cols, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *[col(c) for c in cols]), F.lit(HASH_SPAN))
 
 
-def uniform_draw(*cols, seed: int = 0) -> Column:
-    """Reproducible number on [0, 1) drawn from a row's identity; a task that
-    runs again draws the same."""
-    return hash32(*cols, seed=seed) / F.lit(float(HASH_SPAN))
-
-
 def first_rows(df: DataFrame, keys: Sequence, order: Sequence, n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key.
 
@@ -85,7 +79,7 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence
         place = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     else:
         place = F.row_number().over(inside)
-    ranked = join_on_keys(keyed, offsets, slots).withColumn(name, F.col("_before") + place)
+    ranked = join_summary(keyed.withColumn(name, place), offsets, slots).withColumn(name, F.col("_before") + F.col(name))
     if size:
         ranked = ranked.withColumn(size, F.col("_total"))
     return ranked.drop("_bucket", "_before", "_total")
@@ -120,7 +114,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                 F.when(small | F.lit(p <= slack), F.col("_min")).otherwise(F.col("_e")[i]).alias("lo"),
                 F.when(small | F.lit(p >= 1 - slack), F.col("_max")).otherwise(F.col("_e")[len(probs) + i]).alias("hi"),
             ) for i, p in enumerate(probs)]).alias("_b"))
-    joined = join_on_keys(data, brackets, keys)
+    joined = join_summary(data, brackets, keys)
     # Below or inside, per (key, prob, value): equal values collapse before the
     # shuffle and everything below a bracket collapses into one row.
     spots = joined.select(*keys, "_v", F.explode("_b").alias("_b")).filter(F.col("_v") <= F.col("_b.hi")).select(

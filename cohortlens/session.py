@@ -20,6 +20,7 @@ def build_session(app_name: str = "cohortlens", master: str | None = None, **con
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
