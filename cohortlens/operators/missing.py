@@ -6,6 +6,7 @@ import operator
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import columns as X
@@ -22,6 +23,8 @@ NOT_MEASURED = "interview|sex|resp|relat"
 NOT_COUNTED = "interview|relationship|respon|intersection"
 SOME_MISSING = 0.15
 
+MAX_PATTERNS = 62
+
 
 def feature_columns(df: DataFrame, without: str = NOT_MEASURED, subject: str = SUBJECT) -> list[str]:
     """Score columns: neither the subject, nor ``_`` helpers, nor excluded names."""
@@ -154,30 +157,37 @@ def inject_mar(df: DataFrame, features: Sequence[str], alpha: float = 0.20, row_
     Each row draws one of ``patterns`` random patterns (bit 0: the feature is
     lost; the pattern losing nothing is skipped).  Within a pattern rows are
     cut at the quartiles of a weighted sum of the features the pattern leaves,
-    equal sums together; the lowest quarter has odds 1 and the others draw odds 0 to 4, and a row is
-    hit with probability alpha * odds / mean odds.  A pattern's only row is
-    always hit.
+    equal sums together.  The lowest quarter has odds 1, the others draw odds
+    0 to 4, and a row is hit with probability alpha * odds / mean odds.  A
+    pattern's only row is always hit.
     """
+    if not 1 <= patterns <= MAX_PATTERNS:
+        raise ValueError(f"1 to {MAX_PATTERNS} patterns")
     allow_wide(df, features)
     features = list(features)
+    # What a pattern keeps, weighs and how likely it hits is drawn once, and
+    # enters the expressions as constants: per feature one bit per pattern.
+    rng = np.random.default_rng(seed)
+    keeps, weighs = rng.integers(0, 2, (2, patterns, len(features)))
+    odds = np.column_stack([np.ones(patterns), rng.integers(0, 5, (patterns, 3))])
+    chances = alpha * odds / odds.mean(axis=1, keepdims=True)
+    bits = lambda flags: F.lit(sum(1 << p for p in range(patterns) if flags[p])).cast("bigint")
+    has = lambda flags: bits(flags).bitwiseAND(F.col("_bit")) != 0
     pattern = F.pmod(hashed_draw(row_id, *by, salt=seed * 1000 + 1), F.lit(patterns)).cast("int")
-    bit = lambda i, salt: F.pmod(F.xxhash64(F.lit(seed * 1000 + salt), F.col("_pattern"), F.lit(i)), F.lit(2))
-    kept = {c: bit(i, 2) == 1 for i, c in enumerate(features)}
-    weighted = X.row_sum([F.when(kept[c] & (bit(i, 3) == 1), col(c)) for i, c in enumerate(features)])
-    marked = df.withColumn("_pattern", pattern).withColumn("_sum", weighted)
+    kept = {c: has(keeps[:, i]) for i, c in enumerate(features)}
+    weighted = X.row_sum([F.when(has(keeps[:, i] & weighs[:, i]), col(c)) for i, c in enumerate(features)])
+    marked = df.withColumn("_pattern", pattern).withColumn("_bit", F.expr("shiftleft(1L, _pattern)")).withColumn(
+        "_sum", weighted)
     # Equal sums collapse before they are ranked, however many rows share one.
     slot = [*by, "_pattern", "_sum"]
     sums = with_rank(marked.groupBy(*slot).agg(F.count("*").alias("_c")), slot[:-1], "_sum", [], "_upto", "_size",
                      span=None, weight="_c")
     ranked = join_on_keys(marked, sums, slot)
-    quarter = F.floor(4 * (F.col("_upto") - F.col("_c")) / F.col("_size"))
-    odds = [F.lit(1.0)] + [F.pmod(F.xxhash64(F.lit(seed * 1000 + 4), F.col("_pattern"), F.lit(q)), F.lit(5)).cast("double")
-                           for q in (1, 2, 3)]
-    mine = reduce(lambda acc, q: acc.when(quarter == q, odds[q]), (1, 2, 3), F.when(quarter == 0, odds[0]))
-    chance = F.lit(4 * alpha) * mine / reduce(operator.add, odds)
+    quarter = F.least(F.floor(4 * (F.col("_upto") - F.col("_c")) / F.col("_size")), F.lit(3)).cast("int")
+    chance = F.element_at(F.array(*[F.lit(float(x)) for x in chances.ravel()]), F.col("_pattern") * 4 + quarter + 1)
     draw = hashed_draw(row_id, *by, salt=seed * 1000 + 5) / F.lit(float(HASH_SPAN))
-    all_kept = reduce(operator.and_, kept.values())
-    hit = ~all_kept & ((F.col("_size") == 1) | (draw < chance))
+    loses = has(~keeps.astype(bool).all(axis=1))
+    hit = loses & ((F.col("_size") == 1) | (draw < chance))
     ranked = ranked.withColumn("_hit", hit)
     return ranked.select(*[
         F.when(~F.col("_hit") | kept[c], col(c)).alias(c) if c in kept else col(c) for c in df.columns])

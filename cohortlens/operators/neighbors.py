@@ -31,7 +31,7 @@ MAX_BINNED = 8
 MAX_ANCHORS = 1000
 
 
-def _cells(train: DataFrame, features: Sequence[str], by: Sequence[str], block_rows: int):
+def _cells(train: DataFrame, features: Sequence[str], by: Sequence[str], row_id: str, block_rows: int):
     """Cell number of a train row, how many cells there can be per group, and
     about how many groups there are.
 
@@ -46,7 +46,8 @@ def _cells(train: DataFrame, features: Sequence[str], by: Sequence[str], block_r
     while dims < min(MAX_BINNED, len(features)) and 3 ** (dims + 1) <= wanted:
         dims += 1
     if not dims:
-        return F.lit(0), 1, sizes["groups"]
+        # One cell, number 0; a plain constant would fold the join on it away.
+        return F.pmod(F.hash(row_id), F.lit(1)), 1, sizes["groups"]
     bins = 2
     while (bins + 2) ** dims <= wanted:
         bins += 1
@@ -153,7 +154,7 @@ def _nearest(train: DataFrame, query: DataFrame, features: Sequence[str], k: int
     if fill:
         query = query.filter(reduce(lambda a, b: a | b, [col(c).isNull() for c in features]))
     id_type, by_fields = train.schema[row_id].dataType, [train.schema[c] for c in by]
-    cell, n_cells, n_groups = _cells(train, features, by, block_rows)
+    cell, n_cells, n_groups = _cells(train, features, by, row_id, block_rows)
     placed = train.withColumn("_cell", cell)
     slot = [*by, "_cell"]
 

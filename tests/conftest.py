@@ -10,7 +10,7 @@ from cohortlens.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", spark__sql__shuffle__partitions=8, spark__ui__enabled="false",
+    session = build_session("tests", "local[8]", spark__sql__shuffle__partitions=4, spark__ui__enabled="false",
                             spark__driver__memory="8g")
     session.sparkContext.setLogLevel("ERROR")
     yield session

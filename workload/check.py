@@ -36,9 +36,15 @@ def rows_of(names, rows):
     return [names[i] for i in order], sorted(tuple(_text(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, name: str, run, sql: str, sf: str) -> str:
+def row_by_row_joins(df) -> list[str]:
+    """Joins in the plan that would meet every row with every row."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.strip()[:200] for line in plan.splitlines()
+            if "CartesianProduct" in line or "BroadcastNestedLoopJoin" in line]
+
+
+def compare(con, df, sql: str) -> str:
     """Empty if both agree, else what differs."""
-    df = run(spark, sf)
     mine = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     theirs = rows_of([d[0] for d in cur.description], cur.fetchall())
@@ -56,7 +62,6 @@ def main():
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
-    parser.add_argument("--only-new", default="")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     spark = build_session(master="local[8]", spark__sql__shuffle__partitions=8, spark__ui__enabled="false",
@@ -70,7 +75,7 @@ def main():
         start = time.time()
         try:
             if name in ORACLE:
-                problem = compare(spark, con, name, run, ORACLE[name], args.sf)
+                problem = compare(con, run(spark, args.sf), ORACLE[name])
             else:
                 problem = "" if len(run(spark, args.sf).collect()) else "no rows"
         except Exception as e:  # report and go on
