@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -25,29 +24,32 @@ from ..functions.columns import col, join_on_keys, join_summary, nan_to_null
 from ..session import allow_wide
 from .ordering import first_rows, hash32
 
-BLOCK_ROWS = 1024
+MIN_BLOCK_ROWS, MAX_BLOCK_ROWS = 256, 4096
+TILE_ROWS = 1024
 MAX_CELLS = 8192
 MAX_BINNED = 8
 MAX_ANCHORS = 1000
 
 
-def _cells(train: DataFrame, features: Sequence[str], by: Sequence[str], row_id: str, block_rows: int):
-    """Cell number of a train row, how many cells there can be per group, and
-    about how many groups there are.
+def _cells(train: DataFrame, features: Sequence[str], row_id: str, block_rows: int | None):
+    """Cell number of a train row; how many cells there can be per group; about
+    how many rows and groups there are; and the rows of a block.
 
     Small aggregates size the grid: first rows and groups, and only if there
     are enough for a grid the features with the widest spread and their
     quantiles.  Cells of all groups together stay below MAX_CELLS.
     """
-    groups = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
-    sizes = train.agg(F.count("*").alias("n"), groups.alias("groups")).first()
-    wanted = min(MAX_CELLS // max(2 * sizes["groups"], 1), sizes["n"] // (4 * block_rows))
+    sizes = train.agg(F.count("*").alias("n"), F.approx_count_distinct("_group").alias("groups")).first()
+    n, groups = sizes["n"], max(sizes["groups"], 1)
+    # Larger blocks move less data; a small table still makes several.
+    block_rows = block_rows or min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, n // 8))
+    wanted = min(MAX_CELLS // (2 * groups), n // (4 * block_rows))
     dims = 0
     while dims < min(MAX_BINNED, len(features)) and 3 ** (dims + 1) <= wanted:
         dims += 1
     if not dims:
         # One cell, number 0; a plain constant would fold the join on it away.
-        return F.pmod(F.hash(row_id), F.lit(1)), 1, sizes["groups"]
+        return F.pmod(F.hash(row_id), F.lit(1)), 1, n, groups, block_rows
     bins = 2
     while (bins + 2) ** dims <= wanted:
         bins += 1
@@ -59,7 +61,7 @@ def _cells(train: DataFrame, features: Sequence[str], by: Sequence[str], row_id:
     for c in chosen:
         above = reduce(lambda a, b: a + b, [(col(c) >= F.lit(float(x))).cast("int") for x in cuts[c] or []], F.lit(1))
         cell = cell * (bins + 1) + F.when(col(c).isNull(), 0).otherwise(above)
-    return cell, (bins + 1) ** dims, sizes["groups"]
+    return cell, (bins + 1) ** dims, n, groups, block_rows
 
 
 def _matrix(pdf: pd.DataFrame, features: Sequence[str]) -> np.ndarray:
@@ -94,6 +96,21 @@ def _reach(upper: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     return np.where(enough.any(axis=1), at, np.inf)
 
 
+def _reachable(q: np.ndarray, box: dict, k: int, fill: bool) -> np.ndarray:
+    """Which cells may hold one of a query's k nearest rows (queries x cells);
+    to fill gaps, one of the k nearest that have the missing feature."""
+    lower, upper = _bounds(q, box)
+    if not fill:
+        reach = _reach(upper, box["n"], k)
+    else:
+        reach = np.zeros(len(q))
+        for j in range(q.shape[1]):
+            gap = ~np.isfinite(q[:, j])
+            if gap.any():
+                reach[gap] = np.maximum(reach[gap], _reach(upper[gap], box["count"][:, j], k))
+    return (lower <= reach[:, None] * (1 + 1e-9) + 1e-9) & np.isfinite(lower)
+
+
 def _rough(q, donors):
     """Mean squared difference over shared features from one matrix product;
     infinite for rows that share none."""
@@ -144,19 +161,35 @@ def _closest(q, donors, rough, k):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _meet_tile(q, ids, donors, donor_ids, features, k, fill) -> pd.DataFrame:
+    """Closest donors of one tile of queries within one block."""
+    rough = _rough(q, donors)
+    if not fill:
+        r, c, dist = _closest(q, donors, rough, k)
+        return pd.DataFrame({"query_id": ids[r], "neighbor_id": donor_ids[c], "dist": dist})
+    out = []
+    for j, feature in enumerate(features):
+        rows, able = np.flatnonzero(~np.isfinite(q[:, j])), np.flatnonzero(np.isfinite(donors[:, j]))
+        if len(rows) and len(able):
+            r, c, dist = _closest(q[rows], donors[able], rough[np.ix_(rows, able)], k)
+            out.append((ids[rows][r], donor_ids[able][c], dist, np.full(len(r), feature, object), donors[able][c, j]))
+    names = ["query_id", "neighbor_id", "dist", "feature", "value"]
+    return pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, zip(*out))} if out else {n: [] for n in names})
+
+
 def _nearest(train: DataFrame, query: DataFrame, features: Sequence[str], k: int, row_id: str,
-             by: Sequence[str], fill: bool, block_rows: int) -> DataFrame:
+             by: Sequence[str], fill: bool, block_rows: int | None) -> DataFrame:
     spark, features, by = train.sparkSession, list(features), list(by)
     allow_wide(train, features)
     values = [nan_to_null(c).alias(c) for c in features]
-    train = train.select(*by, row_id, *values)
-    query = query.select(*by, row_id, *values)
-    if fill:
-        query = query.filter(reduce(lambda a, b: a | b, [col(c).isNull() for c in features]))
-    id_type, by_fields = train.schema[row_id].dataType, [train.schema[c] for c in by]
-    cell, n_cells, n_groups = _cells(train, features, by, row_id, block_rows)
+    # One text key per group, so that all inner joins are on plain values.
+    group = F.to_json(F.struct(*by)) if by else F.lit("")
+    train = train.select(group.alias("_group"), row_id, *values)
+    query = query.select(*by, group.alias("_group"), row_id, *values)
+    id_type, by_fields = train.schema[row_id].dataType, [query.schema[c] for c in by]
+    cell, n_cells, n_rows, n_groups, block_rows = _cells(train, features, row_id, block_rows)
     placed = train.withColumn("_cell", cell)
-    slot = [*by, "_cell"]
+    slot = ["_group", "_cell"]
 
     summary = placed.groupBy(*slot).agg(F.count("*").alias("_n"), *([] if n_cells == 1 else [
         F.array(*[F.min(col(c)) for c in features]).alias("_lo"),
@@ -166,77 +199,66 @@ def _nearest(train: DataFrame, query: DataFrame, features: Sequence[str], k: int
     # goes to the tasks; without one no bounds are needed.
     boxes = None
     if n_cells > 1:
-        rows = summary.collect()
-        boxes = {}
-        for key, group in groupby(sorted(rows, key=lambda r: str(tuple(r[c] for c in by))),
-                                  key=lambda r: str(tuple(r[c] for c in by))):
-            group = list(group)
-            number = lambda name: np.array([[np.nan if v is None else v for v in r[name]] for r in group], float)
-            lo, hi = number("_lo"), number("_hi")
-            boxes[key] = {"cell": np.array([r["_cell"] for r in group]), "n": np.array([r["_n"] for r in group]),
-                          "lo": np.nan_to_num(lo), "hi": np.nan_to_num(hi), "count": number("_count")}
-        boxes = spark.sparkContext.broadcast(boxes)
+        cells: dict[str, list] = {}
+        for r in summary.collect():
+            cells.setdefault(r["_group"], []).append(r)
+        number = lambda rows, name: np.array([[np.nan if v is None else v for v in r[name]] for r in rows], float)
+        boxes = spark.sparkContext.broadcast({
+            key: {"cell": [r["_cell"] for r in rows], "n": np.array([r["_n"] for r in rows]),
+                  "lo": np.nan_to_num(number(rows, "_lo")), "hi": np.nan_to_num(number(rows, "_hi")),
+                  "count": number(rows, "_count")} for key, rows in cells.items()})
     sizes = summary.select(*slot, F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks"))
     if n_groups * n_cells <= MAX_CELLS:
         sizes = F.broadcast(sizes)
 
-    packed = T.StructType([*by_fields, T.StructField("_cell", T.IntegerType()),
+    packed = T.StructType([*by_fields, T.StructField("_group", T.StringType()), T.StructField("_cell", T.IntegerType()),
                            T.StructField("_ids", T.ArrayType(id_type)), T.StructField("_m", T.BinaryType())])
-    pack_rows = block_rows
 
     def packs(batches):
-        def emit(key, cell_no, ids, m):
-            return (*key, cell_no, ids, m.tobytes())
         for pdf in batches:
             out = []
-            parts = pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]
-            for key, part in parts:
-                key = tuple(None if pd.isna(v) else v for v in (key if isinstance(key, tuple) else (key,)))
-                key = tuple(v.item() if isinstance(v, np.generic) else v for v in key)
-                for s in range(0, len(part), pack_rows):
-                    piece = part.iloc[s:s + pack_rows]
-                    q, ids = _matrix(piece, features), piece[row_id].to_numpy()
+            for key, part in pdf.groupby("_group", sort=False):
+                q = _matrix(part, features)
+                if fill:
+                    gaps = ~np.isfinite(q).all(axis=1)
+                    part, q = part[gaps], q[gaps]
+                for s in range(0, len(part), block_rows):
+                    head = tuple(part[c].iloc[s] for c in by)
+                    ids, m = part[row_id].to_numpy()[s:s + block_rows], q[s:s + block_rows]
                     if boxes is None:
-                        out.append(emit(key, 0, ids, q))
-                        continue
-                    box = boxes.value.get(str(key))
-                    if box is None:
-                        continue
-                    lower, upper = _bounds(q, box)
-                    if fill:
-                        reach = np.zeros(len(q))
-                        for j in range(len(features)):
-                            gap = ~np.isfinite(q[:, j])
-                            if gap.any():
-                                reach[gap] = np.maximum(reach[gap], _reach(upper[gap], box["count"][:, j], k))
-                    else:
-                        reach = _reach(upper, box["n"], k)
-                    near = (lower <= reach[:, None] * (1 + 1e-9) + 1e-9) & np.isfinite(lower)
-                    for j in np.flatnonzero(near.any(axis=0)):
-                        out.append(emit(key, int(box["cell"][j]), ids[near[:, j]], q[near[:, j]]))
+                        out.append((*head, key, 0, ids, m.tobytes()))
+                    elif key in boxes.value:
+                        box = boxes.value[key]
+                        near = _reachable(m, box, k, fill)
+                        for j in np.flatnonzero(near.any(axis=0)):
+                            out.append((*head, key, box["cell"][j], ids[near[:, j]], m[near[:, j]].tobytes()))
             if out:
                 yield pd.DataFrame(out, columns=packed.names)
 
+    # Queries of one group and cell lie together, so packs are full and visit few cells.
+    near_cells = query.withColumn("_cell", cell).sortWithinPartitions(*slot).drop("_cell").mapInPandas(packs, packed)
+
+    # A few train rows and many queries: copies of the blocks keep every task busy.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copies = max(1, -(-tasks // max(1, n_rows // block_rows)))
+    meeting = [*slot, "_part", "_copy"]
+    query_packs = near_cells.join(sizes, slot).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_part"),
+        F.pmod(F.hash(F.col("_ids")[0]), F.lit(copies)).alias("_copy")).repartition(tasks, *meeting)
+
     def block(pdf):
         pdf = pdf.sort_values(row_id)
         first = pdf.iloc[0]
-        row = [first[c] for c in slot] + [first["_part"], pdf[row_id].to_numpy(), _matrix(pdf, features).tobytes()]
-        return pd.DataFrame([row], columns=[*slot, "_part", "_donor_ids", "_donors"])
+        row = [first[c] for c in (*slot, "_part")] + [pdf[row_id].to_numpy(), _matrix(pdf, features).tobytes()]
+        return pd.DataFrame([row], columns=block_schema.names)
 
-    # Queries of one group and cell lie together, so packs are full and visit few cells.
-    near_cells = query.withColumn("_cell", cell).sortWithinPartitions(*by, "_cell").drop("_cell").mapInPandas(
-        packs, packed)
-    query_packs = join_on_keys(near_cells, sizes, slot).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    block_schema = T.StructType([*by_fields, T.StructField("_cell", T.IntegerType()),
+    block_schema = T.StructType([T.StructField("_group", T.StringType()), T.StructField("_cell", T.IntegerType()),
                                  T.StructField("_part", T.IntegerType()),
                                  T.StructField("_donor_ids", T.ArrayType(id_type)),
                                  T.StructField("_donors", T.BinaryType())])
-    blocks = join_on_keys(placed, sizes, slot).withColumn(
-        "_part", F.pmod(hash32(row_id, seed=7), F.col("_blocks")).cast("int")).drop("_blocks").groupBy(
-        *slot, "_part").applyInPandas(block, block_schema)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    meetings = join_on_keys(query_packs.drop("_blocks"), blocks, [*slot, "_part"]).drop("_cell", "_part").repartition(tasks)
+    part_of = F.pmod(hash32(row_id, seed=7), F.col("_blocks")).cast("int").alias("_part")
+    blocks = placed.join(sizes, slot).select(*slot, part_of, row_id, *features).groupBy(*slot, "_part").applyInPandas(
+        block, block_schema).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
     found = T.StructType([*by_fields, T.StructField("query_id", id_type), T.StructField("neighbor_id", id_type),
                           T.StructField("dist", T.DoubleType()),
@@ -246,36 +268,21 @@ def _nearest(train: DataFrame, query: DataFrame, features: Sequence[str], k: int
     def meet(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                key = row[:len(by)]
-                ids, donor_ids = np.asarray(row[len(by)]), np.asarray(row[len(by) + 2])
-                q = np.frombuffer(row[len(by) + 1]).reshape(-1, len(features))
-                donors = np.frombuffer(row[len(by) + 3]).reshape(-1, len(features))
-                rough = _rough(q, donors)
-                jobs = [(np.arange(len(q)), np.arange(len(donors)), None)]
-                if fill:
-                    jobs = [(np.flatnonzero(~np.isfinite(q[:, j])), np.flatnonzero(np.isfinite(donors[:, j])), j)
-                            for j in range(len(features))]
-                out = []
-                for rows, able, j in jobs:
-                    if not len(rows) or not len(able):
-                        continue
-                    r, c, dist = _closest(q[rows], donors[able], rough[np.ix_(rows, able)], k)
-                    part = {"query_id": ids[rows][r], "neighbor_id": donor_ids[able][c], "dist": dist}
-                    if fill:
-                        part |= {"feature": np.full(len(r), features[j], object), "value": donors[able][c, j]}
-                    out.append(part)
-                if out:
-                    frame = pd.DataFrame({c: np.concatenate([part[c] for part in out]) for c in out[0]})
-                    for name, v in zip(by, key):
-                        frame[name] = v
-                    yield frame[found.names]
-
-    meetings = meetings.select(*by, "_ids", "_m", "_donor_ids", "_donors")
-    return meetings.mapInPandas(meet, found)
+                ids, m, donor_ids, d = row[len(by):]
+                ids, donor_ids = np.asarray(ids), np.asarray(donor_ids)
+                q = np.frombuffer(m).reshape(-1, len(features))
+                donors = np.frombuffer(d).reshape(-1, len(features))
+                for s in range(0, len(q), TILE_ROWS):
+                    out = _meet_tile(q[s:s + TILE_ROWS], ids[s:s + TILE_ROWS], donors, donor_ids, features, k, fill)
+                    for name, v in zip(by, row):
+                        out[name] = v
+                    yield out[found.names]
+
+    return query_packs.join(blocks, meeting).select(*by, "_ids", "_m", "_donor_ids", "_donors").mapInPandas(meet, found)
 
 
 def nearest_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k: int, row_id: str = "subjectkey",
-                      by: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+                      by: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
     """The k nearest train rows of each query row: ``(*by, query_id,
     neighbor_id, dist)``, ties by id.  ``by`` columns must agree, and
     ``row_id`` is unique within them.  Train is read several times: pass a
@@ -285,7 +292,7 @@ def nearest_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str
 
 
 def nearest_donors(train: DataFrame, query: DataFrame, features: Sequence[str], k: int, row_id: str = "subjectkey",
-                   by: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   by: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
     """For each missing cell of the query rows the k nearest train rows that
     have the feature: ``(*by, query_id, feature, neighbor_id, dist, value)``."""
     found = _nearest(train, query, features, k, row_id, by, True, block_rows)
@@ -293,7 +300,7 @@ def nearest_donors(train: DataFrame, query: DataFrame, features: Sequence[str],
 
 
 def impute_rows(train: DataFrame, rows: DataFrame, features: Sequence[str], k: int = 5, row_id: str = "subjectkey",
-                by: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+                by: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
     """``rows`` with each missing feature filled by the mean of its k nearest
     donors in ``train``, or by the train mean if no donor is comparable.
 
