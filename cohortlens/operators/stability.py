@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -22,6 +24,7 @@ from .cohort import SUBJECT
 from .ordering import hash32, with_rank
 
 MAX_MICRO = 1000
+FITS_AT_ONCE = 4
 
 
 # ---- splits -----------------------------------------------------------------
@@ -133,8 +136,11 @@ def ward(df: DataFrame, features: Sequence[str], micro: int = 100, seed: int = 4
     tree serves every number of clusters."""
     if micro > MAX_MICRO:
         raise ValueError(f"at most {MAX_MICRO} micro-clusters")
-    vectors = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df).select("_x")
-    model = KMeans(k=micro, featuresCol="_x", predictionCol="_micro", seed=seed, maxIter=iterations).fit(vectors)
+    vectors = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df).select("_x").persist()
+    try:
+        model = KMeans(k=micro, featuresCol="_x", predictionCol="_micro", seed=seed, maxIter=iterations).fit(vectors)
+    finally:
+        vectors.unpersist()
     sizes = np.maximum(np.asarray(model.summary.clusterSizes), 1)
     return WardTree(model, list(features), sizes, _merge_centers(np.asarray(model.clusterCenters()), sizes))
 
@@ -308,18 +314,22 @@ def cluster_runs(runs: Sequence[tuple[int, DataFrame, DataFrame]], features: Seq
                  k_neighbors: int = 10, row_id: str = SUBJECT, cluster: ClusterFn = ward) -> Runs:
     """Cluster train and test of each run independently and find neighbours.
 
-    Fitting is the only step done run by run; rows of all runs then go through
-    one neighbour search.  Both results are written, as every k and iteration
-    reads them.
+    Fitting is the only step done run by run, a few at a time; rows of all runs
+    then go through one neighbour search.  Both results are written, as every k
+    and iteration reads them.
     """
     ks, features = list(ks), list(features)
-    labelled = []
-    for run, train, test in runs:
-        for split, part in (("train", train), ("test", test)):
-            part = part.select(row_id, *features)
-            labelled.append(cluster(part, features).label(part, ks).select(
-                F.lit(run).alias("run"), F.lit(split).alias("split"), "*"))
-    rows = written(reduce(DataFrame.unionByName, labelled), "runs")
+
+    def labelled(job):
+        run, split, part = job
+        part = part.select(row_id, *features)
+        return cluster(part, features).label(part, ks).select(
+            F.lit(run).alias("run"), F.lit(split).alias("split"), "*")
+
+    jobs = [(run, split, part) for run, train, test in runs for split, part in (("train", train), ("test", test))]
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        parts = list(pool.map(inheritable_thread_target(jobs[0][2].sparkSession)(labelled), jobs))
+    rows = written(reduce(DataFrame.unionByName, parts), "runs")
     each_k = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), col(f"cluster_{k}").alias("label")) for k in ks]))
     labels = rows.select("run", "split", row_id, each_k.alias("_l")).select("run", "split", row_id, "_l.*")
     train = rows.filter(F.col("split") == "train")
