@@ -274,9 +274,10 @@ def _nearest(train: DataFrame, query: DataFrame, features: Sequence[str], k: int
                 donors = np.frombuffer(d).reshape(-1, len(features))
                 for s in range(0, len(q), TILE_ROWS):
                     out = _meet_tile(q[s:s + TILE_ROWS], ids[s:s + TILE_ROWS], donors, donor_ids, features, k, fill)
-                    for name, v in zip(by, row):
-                        out[name] = v
-                    yield out[found.names]
+                    if len(out):
+                        for name, v in zip(by, row):
+                            out[name] = v
+                        yield out[found.names]
 
     return query_packs.join(blocks, meeting).select(*by, "_ids", "_m", "_donor_ids", "_donors").mapInPandas(meet, found)
 
