@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, quality, secrets, urls
+from . import decontaminate, language, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +57,11 @@ def op6_language_id(spark, sf_dir):
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))).select("lang", "text"))
     return language.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op5_benchmark_leaks(spark, sf_dir):
+    """Each benchmark item that a document holds with at most a twentieth of its characters edited."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
