@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, quality, secrets, urls
+from . import decontaminate, jaccard, language, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +65,9 @@ def op5_benchmark_leaks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")).select(
         "doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
+@query
+def op4_jaccard_join(spark, sf_dir):
+    """Groups of documents linked by a Jaccard similarity of 0.8 of their 5-word shingles."""
+    return jaccard.join_similar(table(spark, sf_dir, "documents"))
