@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, quality, secrets, urls
+from . import decontaminate, jaccard, language, packing, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +71,9 @@ def op5_benchmark_leaks(spark, sf_dir):
 def op4_jaccard_join(spark, sf_dir):
     """Groups of documents linked by a Jaccard similarity of 0.8 of their 5-word shingles."""
     return jaccard.join_similar(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_best_fit_packing(spark, sf_dir):
+    """Place of every piece of every document in training sequences."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)

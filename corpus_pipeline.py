@@ -8,7 +8,11 @@ from cohortlens.llm import stages
 from cohortlens.session import written
 
 STAGES = [
+    ("language_id", stages.keep_known_languages),
+    ("jaccard_join", stages.keep_one_of_similar),
+    ("decontamination", stages.keep_clear_of_benchmark),
     ("secret_scan", stages.redact_secrets),
+    ("packing", stages.pack_sequences),
 ]
 #: The stages fit a model, join by similarity and search with edits: no SQL says that.
 ORACLE_SQL = None
