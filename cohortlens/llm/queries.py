@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, packing, quality, secrets, urls
+from . import decontaminate, jaccard, language, packing, quality, secrets, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,3 +77,9 @@ def op4_jaccard_join(spark, sf_dir):
 def op1_best_fit_packing(spark, sf_dir):
     """Place of every piece of every document in training sequences."""
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+
+
+@query
+def op3_suffix_dedup(spark, sf_dir):
+    """Every document without the 50-byte strings that an earlier one has, as a digest."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
