@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, packing, quality, secrets, suffixes, urls
+from . import decontaminate, jaccard, language, packing, privacy, quality, secrets, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Of the registered query only: users pass a key of their own.
+PSEUDONYM_KEY = "a key for the registered query"
 
 
 def query(fn):
@@ -83,3 +85,10 @@ def op1_best_fit_packing(spark, sf_dir):
 def op3_suffix_dedup(spark, sf_dir):
     """Every document without the 50-byte strings that an earlier one has, as a digest."""
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op8_private_data(spark, sf_dir):
+    """Every document with pseudonyms in place of personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return privacy.pseudonymize(docs, PSEUDONYM_KEY)
