@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, packing, privacy, quality, secrets, suffixes, urls
+from . import chat, decontaminate, jaccard, language, packing, privacy, quality, secrets, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -92,3 +92,11 @@ def op8_private_data(spark, sf_dir):
     """Every document with pseudonyms in place of personal data."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return privacy.pseudonymize(docs, PSEUDONYM_KEY)
+
+
+@query
+def op2_chat_turns(spark, sf_dir):
+    """Turns of all conversations, parsed from transcripts in which speakers are named only in part."""
+    rows = chat.as_transcripts(table(spark, sf_dir, "conversations"))
+    model = chat.fit(rows.where(~language.held_out(F.col("conv_id"))))
+    return chat.parse(rows.select("conv_id", "turn", "text"), model)
