@@ -192,9 +192,12 @@ def signature_blobs(docs: DataFrame, id_col: str, text: str, k: int, buckets: in
 
 
 def shared_signatures(blobs: DataFrame) -> DataFrame:
-    """Per bucket, rows ``(kind, x, y, n)``: members ``(signature, id)`` of
+    """Per bucket, rows ``(kind, x, y, n)``: members ``(group, id)`` of
     signatures with several ids (0), pairs of a signature's least id with the
-    others and their number of signatures in the bucket (1), links (2)."""
+    others and their number of signatures in the bucket (1), links (2).
+
+    Similar sets share many signatures, mostly with the same members: a group is
+    named by a hash of its members, so that equal ones count as one."""
     def reduce(key, t):
         kind = t.column("kind").to_numpy()
         left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
@@ -219,10 +222,15 @@ def shared_signatures(blobs: DataFrame) -> DataFrame:
         least = np.repeat(own[begin[:-1]], size)
         star = keep & (own != least)
         pairs, count = np.unique(np.stack([least[star], own[star]]), axis=1, return_counts=True)
-        marked = (sig[keep].astype(np.int64) + (np.int64(key[0].as_py()) << 32))
+        # One group of members is told once, under the sum of its ids' hashes.
+        names = np.add.reduceat(mix(own), begin[:-1]) if len(sig) else np.zeros(0, _U)
+        first = np.zeros(len(names), bool)
+        first[np.unique(names, return_index=True)[1]] = True
+        told = np.repeat((size > 1) & first, size)
+        marked = np.repeat(names, size)[told].astype(np.int64)
         n = [len(marked), pairs.shape[1], len(a)]
         return pa.table({"kind": np.repeat(np.array([0, 1, 2], np.int32), n), "x": np.concatenate((marked, pairs[0], a)),
-                         "y": np.concatenate((own[keep], pairs[1], b)),
+                         "y": np.concatenate((own[told], pairs[1], b)),
                          "n": np.concatenate((np.zeros(n[0], np.int64), count, np.zeros(n[2], np.int64)))})
     return blobs.groupBy("bucket").applyInArrow(reduce, "kind int, x bigint, y bigint, n bigint")
 
@@ -330,27 +338,26 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     total = filled.agg(F.sum("n_shingles")).first()[0] or 0
     equal = written(filled.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_m"))
                     .where("rep <> _m").drop("_m"), "equal-sets")
-    same = written(filled.select("h1", "h2", "n_shingles", "doc_id").join(equal, ["h1", "h2", "n_shingles"]).select(
-        F.col("doc_id").alias("id"), "rep").distinct(), "copies")
-    links = same.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    same = written(filled.select("h1", "h2", "n_shingles", "doc_id").join(equal, ["h1", "h2", "n_shingles"]).where(
+        "doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
+    links = same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # Copies need no signatures; an id with several sets keeps those of all its texts.
+    several = filled.groupBy("doc_id").agg(F.min("h1").alias("_l"), F.max("h1").alias("_h")).where("_l <> _h").select("doc_id")
+    alike = written(same.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "alike")
+    few = alike.count() <= BROADCAST_IDS
+    unlike = docs.join(F.broadcast(alike) if few else alike, "doc_id", "left_anti")
 
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // GROUP)
-    shared = written(shared_signatures(signature_blobs(*docs_args, buckets)), "signatures")
+    shared = written(shared_signatures(signature_blobs(unlike, "doc_id", "_text", k, buckets)), "signatures")
     local = shared.where("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    def to_rep(df, column):
-        # Copies of a set stand behind its first document.
-        named = same.select(F.col("id").alias(column), F.col("rep").alias("_rep"))
-        return df.join(named, column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
-
-    star = to_rep(to_rep(shared.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), "n"), "a"), "b")
-    star = star.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n"))
+    star = shared.where("kind = 1").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("n"))
     best = star.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     near = written(verified(written(best.select("a", "b"), "first-pairs"), *docs_args), "first-links")
     found = written(links.union(local).union(near), "links-1")
     labels = written(components(found).withColumnRenamed("node", "id"), "labels-1")
 
-    members = to_rep(shared.where("kind = 0").select(F.col("x").alias("sig"), F.col("y").alias("id")), "id").distinct()
+    members = shared.where("kind = 0").select(F.col("x").alias("sig"), F.col("y").alias("id")).distinct()
     hidden = written(local.select(F.col("a").alias("id"), F.col("b").alias("other")).distinct(), "hidden")
     sizes = written(filled.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["id", "n", "sketch"]), "sketches")
     rest = written(unresolved_pairs(members, hidden, labels, sizes), "second-pairs")
