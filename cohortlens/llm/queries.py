@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, jaccard, language, packing, privacy, quality, secrets, suffixes, urls
+from . import chat, decontaminate, jaccard, language, oracle, packing, privacy, quality, secrets, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracle.ORACLE)
 #: Of the registered query only: users pass a key of their own.
 PSEUDONYM_KEY = "a key for the registered query"
 
