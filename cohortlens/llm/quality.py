@@ -62,7 +62,7 @@ def failed(n_words: str = "n_words", n_repeat: str = "n_repeat_words") -> Column
 
 
 def _vector() -> list[Column]:
-    n, chars = F.col("n_words"), F.col("word_chars")
+    n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     values = (F.log(n), F.log(chars / n), F.sqrt(F.col("n_symbols") / chars),
               F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))), F.sqrt(F.col("n_repeat_words") / n))
     return [v.cast("double").alias(name) for v, name in zip(values, VECTOR)]
