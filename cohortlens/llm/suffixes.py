@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.session import written
@@ -52,24 +53,28 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         if n < LENGTH:
             break
         total, down = _prefix(part)
-        grams = mix((total[GRAM:] - total[:n - GRAM + 1]) * down[:n - GRAM + 1])
+        grams = total[GRAM:] - total[:n - GRAM + 1]
+        grams *= down[:n - GRAM + 1]
         least, span, wide = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), 1, LENGTH - GRAM + 1
         while span * 2 <= wide:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         if span < wide:
             least = np.minimum(least[:len(least) - (wide - span)], least[wide - span:])
+        place = (least & _PLACE).astype(np.int32)
         own = row[low:low + n]
-        start = np.flatnonzero(own[:n - LENGTH + 1] == own[LENGTH - 1:])
-        if not len(start):
+        inside = own[:n - LENGTH + 1] == own[LENGTH - 1:]
+        new = place[1:] != place[:-1]
+        new |= own[1:n - LENGTH + 1] != own[:n - LENGTH]
+        s1 = np.flatnonzero(np.concatenate(([True], new)) & inside)
+        if not len(s1):
             continue
-        place = (least[start] & _PLACE).astype(np.int64)
-        new = np.concatenate(([True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (own[start[1:]] != own[start[:-1]])))
-        begin = np.flatnonzero(new)
-        s1, s2, at = start[begin], start[np.append(begin[1:], len(start)) - 1], place[begin]
+        # A run of strings ends before the next one begins, or with the last string of its text.
+        at, whose = place[s1].astype(np.int64), own[s1]
+        s2 = np.minimum(np.append(s1[1:], n - LENGTH + 1) - 1, np.minimum(offsets[whose + 1] - low, n) - LENGTH)
         around = mix((total[s2 + LENGTH] - total[s1]) * down[s1] + mix(((at - s1) * 64 + (s2 - s1) + 1).astype(_U)))
-        key = grams[at]
-        yield own[s1], s1 + low, s2 + low, at + low, key, ((key & _LOW) << _U(32)) | (around >> _U(32))
+        key = mix(grams[at])
+        yield whose, s1 + low, s2 + low, at + low, key, ((key & _LOW) << _U(32)) | (around >> _U(32))
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -267,7 +272,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         got = index.add(part, last=j == len(edges))
         found = got if found is None else found.union(got)
 
-    longs = "array<bigint>"
     whole = found.where("kind = 1").groupBy("id").agg(F.collect_list("codes").alias("whole"))
 
     def unpack(t: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +294,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             if not parts:
                 continue
             row, s1, s2, at, key, code = (np.concatenate(x) for x in zip(*parts))
-            hit = _in_pairs(row, code, asked, flat)
+            hit = _places(row, code, asked, flat) >= 0
             row, s1, s2, at, key, code = (x[hit] for x in (row, s1, s2, at, key, code))
             # One of equal entries of a text is enough.
             bucket = _bucket(key, buckets)
@@ -309,9 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     text_of = docs.where("id IS NOT NULL")
     some = text_of.join(partly, "id").mapInArrow(contexts, "bucket int, codes binary, ids binary, left binary, count binary, bytes binary")
     masks = _compare(some).groupBy("id").agg(F.collect_list("code").alias("codes"), F.collect_list("mask").alias("masks"))
-    info = whole.join(masks, "id", "full").select("id", "whole", F.coalesce("codes", F.array().cast(longs)).alias("codes"),
-                                                  F.coalesce("masks", F.array().cast(longs)).alias("masks"))
-    info = written(info, "repeats")
+    info = written(whole.join(masks, "id", "full"), "repeats")
     copied = copies.select(F.col("id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).groupBy("id").agg(
         F.collect_set(F.struct("_h1", "_h2")).alias("_copies"))
     facts = written(info.join(copied, "id", "full"), "facts")
@@ -322,20 +324,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         for b in slices(t, "text"):
             data, offsets = utf8(b.column("text"))
             change = np.zeros(len(data) + 1, np.int32)
-            whole = [np.frombuffer(b"".join(w.as_py() or []), _U) for w in b.column("whole")]
-            codes, masks = b.column("codes"), b.column("masks")
-            part = [np.array(c.as_py() or [], np.int64).view(_U) for c in codes]
-            bits = np.array([m for x in masks for m in (x.as_py() or [])], np.int64).view(_U)
-            if any(map(len, whole)) or any(map(len, part)):
-                own = np.repeat(np.arange(b.num_rows), [len(w) for w in whole])
-                every = np.concatenate(whole)
-                told = np.repeat(np.arange(b.num_rows), [len(p) for p in part])
-                listed = np.concatenate(part)
-                for row, s1, s2, at, _, code in anchors(data, offsets):
-                    hit = _in_pairs(row, code, own, every)
+            told = np.flatnonzero(pc.or_(b.column("whole").is_valid(), b.column("codes").is_valid()).to_numpy(zero_copy_only=False))
+            if len(told):
+                some = b.take(pa.array(told))
+                inner, places = utf8(some.column("text"))
+                whole = [np.frombuffer(b"".join(w.as_py() or []), _U) for w in some.column("whole")]
+                part = [np.array(c.as_py() or [], np.int64).view(_U) for c in some.column("codes")]
+                bits = np.array([m for x in some.column("masks") for m in (x.as_py() or [])], np.int64).view(_U)
+                own, every = np.repeat(np.arange(len(told)), [len(w) for w in whole]), np.concatenate(whole)
+                partly, listed = np.repeat(np.arange(len(told)), [len(p) for p in part]), np.concatenate(part)
+                shift = (offsets[told] - places[:-1])
+                for row, s1, s2, at, _, code in anchors(inner, places):
+                    s1, s2, at = s1 + shift[row], s2 + shift[row], at + shift[row]
+                    hit = _places(row, code, own, every) >= 0
                     np.add.at(change, s1[hit], 1)
                     np.add.at(change, s2[hit] + LENGTH, -1)
-                    where = _places(row, code, told, listed)
+                    where = _places(row, code, partly, listed)
                     near = np.flatnonzero(where >= 0)
                     for o in range(LENGTH - GRAM + 1):
                         on = near[(bits[where[near]] >> _U(o)) & _U(1) == 1]
@@ -357,28 +361,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         finish, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
 
 
-def _places(row, code, own, listed):
-    """For each (row, code) the place of an equal pair in (own, listed), or -1."""
-    if not len(listed):
-        return np.full(len(code), -1)
-    order = np.lexsort((listed, own))
-    return _search(row, code, own[order], listed[order], order)
-
-
-def _search(row, code, own, listed, order):
-    # One sorted run of codes per row: search in the row's run by shifting codes to the row's place.
+def _places(row: np.ndarray, code: np.ndarray, own: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """For each (row, code), by rising row, the place of an equal pair in (own, listed), or -1."""
     out = np.full(len(code), -1)
-    left = np.searchsorted(own, np.arange(int(max(row.max(), own.max())) + 2)) if len(row) else np.zeros(1, int)
+    if not len(listed) or not len(code):
+        return out
+    order = np.lexsort((listed, own))
+    own, listed = own[order], listed[order]
     begin = _begins(row)
-    for x, y in zip(begin[:-1], begin[1:]):
-        r = int(row[x])
-        a, b = int(left[r]), int(left[r + 1])
+    left = np.searchsorted(own, row[begin[:-1]])
+    right = np.searchsorted(own, row[begin[:-1]], "right")
+    for x, y, a, b in zip(begin[:-1], begin[1:], left, right):
         if a < b:
             place = a + np.searchsorted(listed[a:b], code[x:y])
             good = (place < b) & (listed[np.minimum(place, b - 1)] == code[x:y])
             out[x:y][good] = order[place[good]]
     return out
-
-
-def _in_pairs(row, code, own, listed):
-    return _places(row, code, own, listed) >= 0
