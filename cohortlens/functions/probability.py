@@ -17,6 +17,11 @@ from pyspark.sql import Column, functions as F
 _TINY = 1e-300
 
 
+def _steps(*parameters) -> int:
+    """Steps that the fractions may need: their number grows with the square root of the parameters."""
+    return 1000 + int(40 * math.sqrt(max(float(np.max(p, initial=0.0)) for p in parameters)))
+
+
 def _lgamma(x: np.ndarray) -> np.ndarray:
     return np.fromiter((math.lgamma(v) for v in np.ravel(x)), float, np.size(x)).reshape(np.shape(x))
 
@@ -33,7 +38,7 @@ def beta_cdf(a, b, x):
         d = 1.0 - (p + q) * y / (p + 1.0)
         d = 1.0 / np.where(np.abs(d) < _TINY, _TINY, d)
         h = d.copy()
-        for m in range(1, 400):
+        for m in range(1, _steps(p, q)):
             even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
             odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
             step = np.ones_like(y)
@@ -44,8 +49,10 @@ def beta_cdf(a, b, x):
                 c = np.where(np.abs(c) < _TINY, _TINY, c)
                 step = c * d
                 h = h * step
-            if np.nanmax(np.abs(step - 1.0), initial=0.0) < 1e-15:
+            if np.nanmax(np.abs(step - 1.0), initial=0.0) < 4e-15:
                 break
+        else:
+            raise ArithmeticError("the incomplete beta function did not converge")
         out = front * h
     out = np.where(y <= 0.0, 0.0, out)
     return np.where(swap, 1.0 - out, out)
@@ -58,16 +65,18 @@ def gamma_tail(a, x):
         front = np.exp(a * np.log(x) - x - _lgamma(a))
         term = 1.0 / a
         series = term.copy()
-        for n in range(1, 1000):
+        for n in range(1, _steps(a)):
             term = term * x / (a + n)
             series = series + term
-            if np.nanmax(np.where(x < a + 1, term, 0.0), initial=0.0) < 1e-17:
+            if np.nanmax(np.where(x < a + 1, term / series, 0.0), initial=0.0) < 1e-17:
                 break
+        else:
+            raise ArithmeticError("the incomplete gamma series did not converge")
         b = x + 1.0 - a
         c = np.full_like(b, 1.0 / _TINY)
         d = 1.0 / np.where(np.abs(b) < _TINY, _TINY, b)
         h = d.copy()
-        for n in range(1, 1000):
+        for n in range(1, _steps(a)):
             an = -n * (n - a)
             b = b + 2.0
             d = an * d + b
@@ -76,8 +85,10 @@ def gamma_tail(a, x):
             c = np.where(np.abs(c) < _TINY, _TINY, c)
             step = d * c
             h = h * step
-            if np.nanmax(np.where(x >= a + 1, np.abs(step - 1.0), 0.0), initial=0.0) < 1e-15:
+            if np.nanmax(np.where(x >= a + 1, np.abs(step - 1.0), 0.0), initial=0.0) < 4e-15:
                 break
+        else:
+            raise ArithmeticError("the incomplete gamma fraction did not converge")
         out = np.where(x < a + 1.0, 1.0 - front * series, front * h)
     return np.where(x <= 0.0, 1.0, out)
 

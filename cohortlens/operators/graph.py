@@ -27,23 +27,34 @@ def cooccurrence(members: DataFrame, known: DataFrame | None = None, group: str
     and no pair of subjects is ever formed: a group holding a third of all
     subjects contributes as many rows as it has distinct profiles.  The
     diagonal entry of a profile counts its different subjects' shared groups;
-    a subject with itself counts 0.  Subjects outside ``known`` are ignored.
+    a subject with itself counts 0, so a profile of one subject has none.
+    Subjects outside ``known`` are ignored.
     """
     if known is not None:
         members = members.join(known.select(subject), subject, "left_semi")
     sizes = membership_profiles(members, group, subject).groupBy("profile").agg(F.count("*").alias("subjects"))
     flat = sizes.select("profile", "subjects", F.explode("profile").alias("_g"))
-    a = flat.select("_g", F.col("profile").alias("profile_a"), F.col("subjects").alias("subjects_a"))
-    b = flat.select("_g", F.col("profile").alias("profile_b"), F.col("subjects").alias("subjects_b"))
-    return a.join(b, "_g").groupBy("profile_a", "profile_b", "subjects_a", "subjects_b").agg(F.count("*").alias("n"))
+    return _shared(flat, flat)
+
+
+def _shared(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Shared groups of the profiles of two exploded tables ``(profile, subjects, _g)``."""
+    a = left.select("_g", F.col("profile").alias("profile_a"), F.col("subjects").alias("subjects_a"))
+    b = right.select("_g", F.col("profile").alias("profile_b"), F.col("subjects").alias("subjects_b"))
+    return a.join(b, "_g").where((F.col("profile_a") != F.col("profile_b")) | (F.col("subjects_a") > 1)).groupBy(
+        "profile_a", "profile_b", "subjects_a", "subjects_b").agg(F.count("*").alias("n"))
 
 
 def cooccurrence_rows(members: DataFrame, wanted: DataFrame, group: str = "group_id",
                       subject: str = SUBJECT) -> DataFrame:
-    """Matrix rows of chosen subjects: ``(subject, other, n)`` with n > 0."""
+    """Matrix rows of chosen subjects: ``(subject, other, n)`` with n > 0; only
+    the rows of their profiles are formed."""
     profiles = membership_profiles(members, group, subject)
-    matrix = cooccurrence(members, None, group, subject)
-    mine = profiles.join(wanted.select(subject).distinct(), subject).withColumnRenamed("profile", "profile_a")
+    chosen = profiles.join(wanted.select(subject).distinct(), subject)
+    sizes = profiles.groupBy("profile").agg(F.count("*").alias("subjects"))
+    flat = sizes.select("profile", "subjects", F.explode("profile").alias("_g"))
+    matrix = _shared(flat.join(chosen.select("profile").distinct(), "profile", "left_semi"), flat)
+    mine = chosen.withColumnRenamed("profile", "profile_a")
     others = profiles.select(F.col(subject).alias("other"), F.col("profile").alias("profile_b"))
     return (mine.join(matrix.select("profile_a", "profile_b", "n"), "profile_a")
             .join(others, "profile_b").filter(F.col(subject) != F.col("other")).select(subject, "other", "n"))

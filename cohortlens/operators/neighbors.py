@@ -386,24 +386,26 @@ def distance_summary(rows: DataFrame, cluster: str, features: Sequence[str], by:
     two clusters, and within each cluster over its different pairs:
     ``(*by, cluster_a, cluster_b, pairs, mean_square, rms)``.
 
-    Computed from each cluster's size, mean vector and mean squared norm, so no
+    Computed from each cluster's size, mean and variance per feature, so no
     pair of rows is formed: one map-side-combined aggregate, then a join of
-    cluster summaries.
+    cluster summaries.  Variances do not cancel on data far from zero.  A row
+    with a NULL or NaN feature has no distances and is not counted.
     """
     by, features = list(by), list(features)
-    norm = reduce(lambda a, b: a + b, [col(c) * col(c) for c in features])
-    stats = rows.groupBy(*by, cluster).agg(
-        F.count("*").alias("n"), F.avg(norm).alias("sq"), F.array(*[F.avg(col(c)) for c in features]).alias("mu"))
+    whole = reduce(lambda a, b: a & b, [col(c).isNotNull() & ~F.isnan(col(c).cast("double")) for c in features])
+    spread = reduce(lambda a, b: a + b, [F.var_pop(col(c)) for c in features])
+    stats = rows.where(whole).groupBy(*by, cluster).agg(
+        F.count("*").alias("n"), spread.alias("sq"), F.array(*[F.avg(col(c)) for c in features]).alias("mu"))
     a = stats.select(*by, *[col(c).alias(f"{d}_a") for c, d in ((cluster, "cluster"), ("n", "n"), ("sq", "sq"), ("mu", "mu"))])
     b = stats.select(*by, *[col(c).alias(f"{d}_b") for c, d in ((cluster, "cluster"), ("n", "n"), ("sq", "sq"), ("mu", "mu"))])
     if not by:
         by, a, b = ["_all"], a.withColumn("_all", F.lit(0)), b.withColumn("_all", F.lit(0))
-    dot = F.aggregate(F.zip_with("mu_a", "mu_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    joined = a.join(b, by).filter(F.col("cluster_a") <= F.col("cluster_b")).withColumn("_dot", dot)
+    apart = F.aggregate(F.zip_with("mu_a", "mu_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    joined = a.join(b, by).filter(F.col("cluster_a") <= F.col("cluster_b")).withColumn("_apart", apart)
     same = F.col("cluster_a") == F.col("cluster_b")
     pairs = F.when(same, F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("bigint")
-    across = F.col("sq_a") + F.col("sq_b") - 2 * F.col("_dot")
-    within = across * F.col("n_a") / F.nullif(F.col("n_a") - 1, F.lit(0))
+    across = F.col("sq_a") + F.col("sq_b") + F.col("_apart")
+    within = 2 * F.col("sq_a") * F.col("n_a") / F.nullif(F.col("n_a") - 1, F.lit(0))
     square = F.greatest(F.when(same, within).otherwise(across), F.lit(0.0))
     return joined.select(*[c for c in by if c != "_all"], "cluster_a", "cluster_b", pairs.alias("pairs"),
                          F.when(pairs > 0, square).alias("mean_square"),

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import col, join_on_keys, join_summary
+from ..session import written
 
 HASH_SPAN = 1 << 32
 SKETCH_ACCURACY = 10_000
@@ -49,10 +50,12 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence
               buckets: int = 256, weight: str | None = None) -> DataFrame:
     """Exact 1-based rank of each row in its key, ordered by a numeric column.
 
-    The order's range is cut into buckets; a rank is the bucket's offset plus
-    the rank inside the bucket, so one key is ranked by ``buckets`` tasks.  With
-    ``span`` the order is uniform on [0, span), as a hash is; with ``span=None``
-    the cuts are quantiles of the order column, found by one sketch.  ``size``
+    A rank is the offset of a bucket of the order plus the rank inside it.  With
+    ``span`` the order is uniform on [0, span), as a hash is, and cut into
+    ``buckets``.  With ``span=None`` the order has any type, and the buckets are
+    the range partitions of (keys, order, tiebreak), as many as the session's
+    shuffle has: a key of many rows spreads over its share of them.  They are
+    written once, as sampled borders would differ in a second run.  ``size``
     names an optional column for the number of rows of the key.  With
     ``weight`` a row stands for that many equal rows, and its rank is that of
     the last of them.
@@ -60,12 +63,10 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence
     if span is not None:
         bucket = F.floor(col(order) * F.lit(buckets / span)).cast("int")
     else:
-        probs = [i / 64 for i in range(1, 64)]
-        cuts = df.agg(F.percentile_approx(col(order), probs, SKETCH_ACCURACY).alias("cuts")).scalar()
-        # The place of a value among the sorted cuts is its bucket.
-        bucket = F.array_position(F.sort_array(F.array_append(F.col("_cuts"), col(order))), col(order)).cast("int")
-        df = df.withColumn("_cuts", cuts)
-    keyed = df.withColumn("_bucket", bucket).drop("_cuts")
+        by = list(dict.fromkeys([*keys, order, *tiebreak]))
+        df = written(df.repartitionByRange(*[col(c) for c in by]).withColumn("_bucket", F.spark_partition_id()), "ranges")
+        bucket = F.col("_bucket")
+    keyed = df.withColumn("_bucket", bucket)
     slots = [*keys, "_bucket"]
     counts = keyed.groupBy(*slots).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     earlier = Window.partitionBy(*[col(k) for k in keys], F.lit(0)).orderBy("_bucket")

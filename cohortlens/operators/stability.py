@@ -32,15 +32,17 @@ FITS_AT_ONCE = 4
 def train_test(df: DataFrame, strata: Sequence[str] = (), test_size: float = 0.45, row_id: str = SUBJECT,
                seed: int = 42, draw: Column | None = None) -> DataFrame:
     """Column ``split`` (train/test): in each stratum the rows with the
-    smallest draws train, rounded down to ``(1 - test_size) * n``."""
+    smallest draws train, rounded down to ``(1 - test_size) * n`` (the share is
+    exact to nine decimals)."""
     drawn = df.withColumn("_draw", hash32(row_id, seed=seed) if draw is None else draw)
     ranked = with_rank(drawn, list(strata), "_draw", [row_id], "_rank", "_size")
-    train = F.col("_rank") <= F.floor(F.col("_size") * F.lit(100 - round(100 * test_size)) / 100)
+    share = F.lit(10 ** 9 - round(10 ** 9 * test_size)).cast("decimal(10,0)")
+    train = F.col("_rank") <= F.floor(F.col("_size").cast("decimal(18,0)") * share / F.lit(10 ** 9).cast("decimal(10,0)"))
     return ranked.withColumn("split", F.when(train, "train").otherwise("test")).drop("_draw", "_rank", "_size")
 
 
 def with_folds(df: DataFrame, folds: int, order: str = SUBJECT, strata: Sequence[str] = ()) -> DataFrame:
-    """Column ``fold`` 0 .. folds-1: contiguous runs of a numeric order with
+    """Column ``fold`` 0 .. folds-1: contiguous runs of an order of any type with
     sizes that differ by at most one, the longer first; or, with strata,
     dealt out in turn within each stratum."""
     ranked = with_rank(df, list(strata), order, [order], "_rank", "_size", span=None)
@@ -76,12 +78,16 @@ def embed(train: DataFrame, others: Sequence[DataFrame], features: Sequence[str]
 
 @dataclass
 class WardTree:
-    """Micro-clusters of a table and the tree that merges them."""
+    """Micro-clusters of a table and the tree that merges them.
+
+    ``leaves`` are the model's centres that hold rows, in order.
+    """
 
     model: object
     features: Sequence[str]
     sizes: np.ndarray
     merges: list[tuple[int, int, float, int]]
+    leaves: np.ndarray
 
     def cut(self, k: int) -> list[int]:
         """Label 0 .. k-1 of each micro-cluster, numbered by first appearance."""
@@ -99,7 +105,10 @@ class WardTree:
         """Adds ``cluster_<k>`` for each k: the micro-cluster's label, looked up."""
         assembler = VectorAssembler(inputCols=list(self.features), outputCol="_x")
         scored = self.model.transform(assembler.transform(df))
-        cuts = {f"cluster_{k}": F.element_at(F.array(*[F.lit(v) for v in self.cut(k)]), F.col("_micro") + 1) for k in ks}
+        points = np.asarray(self.model.clusterCenters(), float)
+        # A centre that held no rows of the fit takes the label of the nearest leaf.
+        near = [int(np.argmin(((points[self.leaves] - p) ** 2).sum(axis=1))) for p in points]
+        cuts = {f"cluster_{k}": F.element_at(F.array(*[F.lit(self.cut(k)[i]) for i in near]), F.col("_micro") + 1) for k in ks}
         return scored.select(*df.columns, *[c.alias(n) for n, c in cuts.items()])
 
     def linkage(self, spark) -> DataFrame:
@@ -133,16 +142,22 @@ def _merge_centers(centers: np.ndarray, sizes: np.ndarray) -> list[tuple[int, in
 def ward(df: DataFrame, features: Sequence[str], micro: int = 100, seed: int = 42, iterations: int = 10) -> WardTree:
     """Ward clustering in two stages: k-means micro-clusters on Spark, then
     Ward merging of their (at most 1,000) weighted centres on the driver.  One
-    tree serves every number of clusters."""
+    tree serves every number of clusters.
+
+    A table with fewer distinct rows than ``micro`` has as many leaves as the
+    fit finds centres; leaves are weighted by the rows they hold, and empty ones
+    are left out."""
     if micro > MAX_MICRO:
         raise ValueError(f"at most {MAX_MICRO} micro-clusters")
     vectors = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df).select("_x").persist()
     try:
         model = KMeans(k=micro, featuresCol="_x", predictionCol="_micro", seed=seed, maxIter=iterations).fit(vectors)
+        held = dict(model.transform(vectors).groupBy("_micro").count().collect())
     finally:
         vectors.unpersist()
-    sizes = np.maximum(np.asarray(model.summary.clusterSizes), 1)
-    return WardTree(model, list(features), sizes, _merge_centers(np.asarray(model.clusterCenters()), sizes))
+    leaves = np.array(sorted(held))
+    sizes = np.array([held[i] for i in leaves])
+    return WardTree(model, list(features), sizes, _merge_centers(np.asarray(model.clusterCenters())[leaves], sizes), leaves)
 
 
 # ---- agreement of labellings ------------------------------------------------
@@ -402,7 +417,8 @@ def evaluate(train: DataFrame, test: DataFrame, features: Sequence[str], k: int,
 
 
 def stability_curve(scores: DataFrame) -> DataFrame:
-    """Mean normalized score per k and split with its 95% half width."""
-    p = F.least(F.col("normalized"), F.lit(1.0))
-    return scores.groupBy("k", "split").agg(
-        F.avg("normalized").alias("mean"), proportion_half_width(F.avg(p), F.count("normalized")).alias("half_width"))
+    """Mean normalized score per k and split with the 95% half width of a
+    proportion; a mean above 1 is no proportion and has none."""
+    means = scores.groupBy("k", "split").agg(F.avg("normalized").alias("mean"), F.count("normalized").alias("_n"))
+    width = F.when(F.col("mean") <= 1, proportion_half_width(F.col("mean"), F.col("_n")))
+    return means.select("k", "split", "mean", width.alias("half_width"))

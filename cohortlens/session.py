@@ -12,7 +12,9 @@ def build_session(app_name: str = "cohortlens", master: str | None = None, **con
     """A session with the settings the operators rely on; ``conf`` overrides.
 
     Adaptive execution splits skewed join partitions and picks broadcast joins
-    from measured sizes, which is why no operator hints a broadcast itself.
+    from measured sizes; operators hint a broadcast only for sides whose size
+    they have checked or know to be bounded.  On a cluster pass
+    ``spark__checkpoint__dir``, a folder that all executors share.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -34,11 +36,14 @@ def build_session(app_name: str = "cohortlens", master: str | None = None, **con
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of ``spark.checkpoint.dir`` for a written table.
 
-    The cluster names that folder; only when the session has none (unit tests)
-    a temporary one is made and set.
+    The cluster names that folder.  Without one a session in a single process
+    (unit tests) makes and sets a temporary one; any other raises, as executors
+    would each write to a disk of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="cohortlens-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -12,6 +12,9 @@ from ..functions.columns import col
 from ..operators.ordering import first_rows
 
 QUOTE = '"'
+#: Written dates besides ISO, and texts that stand for a missing value.
+DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss")
+NA_TEXTS = ("", "na", "n/a", "nan", "null", "none")
 
 
 def table_name(path: str) -> str:
@@ -28,11 +31,13 @@ def header_lines(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
 
 
 def read_instrument(spark: SparkSession, path: str, types: Mapping[str, str] | None = None,
-                    date: str = "interview_date", header_path: str | None = None) -> DataFrame:
+                    date: str = "interview_date", header_path: str | None = None,
+                    date_formats: Sequence[str] = DATE_FORMATS, na: Sequence[str] = NA_TEXTS) -> DataFrame:
     """One tab-separated table without its description line.
 
-    Columns are read as text, then ``types`` are tried (unreadable is NULL) and
-    the date is parsed.  Only the two header lines reach the driver; a folder
+    Columns are read as text and texts in ``na`` (in any case) become NULL, then
+    ``types`` are tried (unreadable, and not a number, is NULL) and the date is
+    parsed: as ISO, or by the first of ``date_formats`` that fits.  Only the two header lines reach the driver; a folder
     of part files takes them from ``header_path``.
     """
     names, descriptions = header_lines(spark, header_path or path)
@@ -41,9 +46,26 @@ def read_instrument(spark: SparkSession, path: str, types: Mapping[str, str] | N
     is_description = reduce(operator.and_, [
         F.coalesce(col(n), F.lit("")) == F.lit(d) for n, d in zip(names, descriptions)], F.lit(bool(descriptions)))
     types = dict(types or {})
-    return rows.filter(~is_description).select(*[
-        (col(n).try_cast(types[n]) if n in types else
-         F.try_to_timestamp(col(n)) if n == date else col(n)).alias(n) for n in names])
+    absent = [t.lower() for t in na]
+
+    def typed(n):
+        value = F.when(~F.lower(F.trim(col(n))).isin(absent), col(n))
+        if n in types:
+            cast = value.try_cast(types[n])
+            return F.when(~F.isnan(cast), cast) if types[n] in ("double", "float") else cast
+        if n == date:
+            return F.coalesce(F.try_to_timestamp(value), *[F.try_to_timestamp(value, F.lit(f)) for f in date_formats])
+        return value
+
+    return rows.filter(~is_description).select(*[typed(n).alias(n) for n in names])
+
+
+def unreadable(raw: DataFrame, read: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column, values that are there in ``raw`` text and NULL in ``read``:
+    ``(column, given, read, lost)``."""
+    given = raw.agg(*[F.count(F.when(F.trim(col(c)) != "", 1)).alias(c) for c in columns]).unpivot([], list(columns), "column", "given")
+    kept = read.agg(*[F.count(col(c)).alias(c) for c in columns]).unpivot([], list(columns), "column", "read")
+    return given.join(kept, "column").withColumn("lost", F.col("given") - F.col("read"))
 
 
 def with_file_order(df: DataFrame, name: str = "_ord") -> DataFrame:
