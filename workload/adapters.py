@@ -88,12 +88,12 @@ def people(spark, sf) -> DataFrame:
 
 # ---- instrument membership ---------------------------------------------------
 
-INSTRUMENTS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]
-MEMBERS = ("members", "SELECT o_custkey AS subjectkey, o_orderpriority AS instrument FROM orders WHERE o_totalprice > 300000")
+INSTRUMENTS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+MEMBERS = ("members", "SELECT o_custkey AS subjectkey, o_orderpriority AS instrument FROM orders")
 
 
 def members(spark, sf) -> DataFrame:
-    return table(spark, sf, "orders").filter("o_totalprice > 300000").select(
+    return table(spark, sf, "orders").select(
         F.col("o_custkey").alias("subjectkey"), F.col("o_orderpriority").alias("instrument"))
 
 

@@ -114,12 +114,12 @@ def a2(spark, sf):
 
 @query("a3_stack_equal_headers", with_([EVENT], f"""
 SELECT tbl, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT subjectkey) AS BIGINT) AS subjects, {r6('sum(v)')} AS total FROM (
-  SELECT CASE WHEN instrument IN ('click','view') THEN 'click' ELSE instrument END AS tbl, subjectkey, v FROM ev
-  WHERE instrument IN ('click','view','purchase')) GROUP BY tbl"""))
+  SELECT CASE WHEN instrument IN ('click','view','error') THEN 'click' WHEN instrument IN ('purchase','signup') THEN 'purchase'
+  ELSE instrument END AS tbl, subjectkey, v FROM ev) GROUP BY tbl"""))
 def a3(spark, sf):
     """Tables whose headers agree from the third column on are stacked."""
     rows, paths, headers = event_rows(spark, sf), {}, {}
-    shapes = {"click": ["v", "d"], "view": ["v", "d"], "purchase": ["v", "token"]}
+    shapes = {"click": ["v", "d"], "view": ["v", "d"], "purchase": ["v", "token"], "signup": ["v", "token"], "error": ["v", "d"]}
     for name, extra in shapes.items():
         part = rows.filter(F.col("instrument") == name).select("subjectkey", "interview_age", "interview_date", *extra)
         paths[name], headers[name] = _stage(spark, part, f"a3-{name}")
@@ -882,10 +882,19 @@ def i2(spark, sf):
     return summary
 
 
+#: More items, so that shares of gaps lie on both sides of the label's and of
+#: the drop's limit, and one item is missing often enough to reach the gate.
+_MORE = {f"x{i}": f"CASE WHEN {when} THEN NULL ELSE CAST({i} AS DOUBLE) END" for i, when in enumerate(
+    ("subjectkey % 5 < 2", "subjectkey % 7 = 0", "subjectkey % 10 = 0", "subjectkey % 25 = 0"), 1)}
+
+
 def _prepare_sql(threshold):
-    flags = "CAST(i1 IS NULL AS DOUBLE)+CAST(i2 IS NULL AS DOUBLE)+CAST(i3 IS NULL AS DOUBLE)+CAST(i4 IS NULL AS DOUBLE)"
-    worst = ", ".join(f"100.0*avg(CAST({c} IS NULL AS DOUBLE))" for c in _MISS)
-    return with_([OBS, RECODED, ("p", f"SELECT *, ({flags})/4 AS share FROM rec WHERE {sql_period()}='P2'"),
+    every = [*ITEMS, *_MORE]
+    flags = "+".join(f"CAST({c} IS NULL AS DOUBLE)" for c in every)
+    worst = ", ".join(f"100.0*avg(CAST({c} IS NULL AS DOUBLE))" for c in every)
+    more = ", ".join(f"{e} AS {c}" for c, e in _MORE.items())
+    return with_([OBS, RECODED, ("w", f"SELECT *, {more} FROM rec"),
+                  ("p", f"SELECT *, ({flags})/8 AS share FROM w WHERE {sql_period()}='P2'"),
                   ("gate", f"SELECT greatest({worst}) >= {threshold * 100} AS g FROM p")], f"""
 SELECT subjectkey, {ITEM_OUT}, CAST(CASE WHEN (SELECT g FROM gate) AND share>=0.15 THEN 1 ELSE 0 END AS BIGINT) AS countna
 FROM p WHERE NOT (SELECT g FROM gate) OR subjectkey NOT IN (SELECT subjectkey FROM p WHERE share>{threshold})""")
@@ -893,14 +902,14 @@ FROM p WHERE NOT (SELECT g FROM gate) OR subjectkey NOT IN (SELECT subjectkey FR
 
 def _prepared(spark, sf, threshold):
     rows = levels.add_period(recoded(spark, sf)).select(
-        "subjectkey", "interview_age", "interview_period", *ITEMS)
+        "subjectkey", "interview_age", "interview_period", *ITEMS, *[F.expr(e).alias(c) for c, e in _MORE.items()])
     return missing.prepare_imputation({"adi": rows}, "P2", threshold)["adi"].select("subjectkey", *ITEMS, "countna")
 
 
-@query("i1_prepare_imputation", _prepare_sql(0.2))
+@query("i1_prepare_imputation", _prepare_sql(0.3))
 def i1(spark, sf):
     """Gate reached: subjects with too many gaps go, the rest are labelled."""
-    return _prepared(spark, sf, 0.2)
+    return _prepared(spark, sf, 0.3)
 
 
 @query("i1_prepare_below_gate", _prepare_sql(0.6))

@@ -245,6 +245,10 @@ def _embedded(spark, sf):
     return stability.embed(parts[0], parts[1:], FEATURES)
 
 
+def _embedded_whole(spark, sf):
+    return stability.embed(full_rows(spark, sf).select(ID, *FEATURES), [], FEATURES)[0]
+
+
 def _small_ward(df, features):
     return stability.ward(df, features, micro=40)
 
@@ -252,8 +256,8 @@ def _small_ward(df, features):
 @query("v1_ward_clusters")
 def v1(spark, sf):
     """Sizes of the clusters for several k from one merge tree (V1, G9)."""
-    train, _ = _embedded(spark, sf)
-    labelled = stability.ward(train, AXES, 60).label(train, KS)
+    rows = _embedded_whole(spark, sf)
+    labelled = stability.ward(rows, AXES).label(rows, KS)
     each = [compare.cluster_sizes(labelled.select(F.lit(k).alias("k"), F.col(f"cluster_{k}").alias("cluster")), "cluster")
             .withColumn("k", F.lit(k)) for k in KS]
     return each[0].unionByName(each[1]).unionByName(each[2])
@@ -261,8 +265,7 @@ def v1(spark, sf):
 
 @query("v15_merge_tree")
 def v15(spark, sf):
-    train, _ = _embedded(spark, sf)
-    return stability.ward(train, AXES, 60).linkage(spark)
+    return stability.ward(_embedded_whole(spark, sf), AXES).linkage(spark)
 
 
 @query("v2_p4_embedding_points")
