@@ -93,10 +93,19 @@ def _least_id(code: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code, ids, np.repeat(ids[at[:-1]], np.diff(at))
 
 
+def _by_owner(code: np.ndarray, ids: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of kind 1: codes with their ids, packed by a hash of the id."""
+    group = (mix(ids.astype(_U)) % _U(buckets)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    code, ids, group = code[order], ids[order], group[order]
+    at = _begins(group)
+    return [(int(group[x]), 1, int(group[x]), code[x:y].tobytes(), ids[x:y].tobytes()) for x, y in zip(at[:-1], at[1:])]
+
+
 def suffix_entries(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows ``(bucket, kind, id, codes, ids)``: per slice of texts and bucket the
-    codes with the ids they are in (kind 0); per text the codes that an earlier
-    text of the slice has too (kind 1), which need not be sent on."""
+    """Rows ``(bucket, kind, owner, codes, ids)``: per slice of texts and bucket
+    the codes with the ids they are in (kind 0); codes that an earlier text of
+    the slice has too (kind 1), which need not be compared further."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             ids = b.column("id").to_numpy()
@@ -110,16 +119,13 @@ def suffix_entries(docs: DataFrame, buckets: int) -> DataFrame:
             first = np.concatenate(([True], (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1])))
             least = np.repeat(own[first], np.diff(np.append(np.flatnonzero(first), len(own))))
             rows = []
-            later = np.flatnonzero(own > least)
-            later = later[np.argsort(own[later], kind="stable")]
-            at = _begins(own[later])
-            rows += [(int(bucket[later[x]]), 1, int(own[later[x]]), code[later[x:y]].tobytes(), b"") for x, y in zip(at[:-1], at[1:])]
+            rows += _by_owner(code[own > least], own[own > least], buckets)
             code, own, bucket = code[first], own[first], bucket[first]
             at = _begins(bucket)
             rows += [(int(bucket[x]), 0, None, code[x:y].tobytes(), own[x:y].tobytes()) for x, y in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
-                pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "kind", "id", "codes", "ids"])
-    return docs.mapInArrow(emit, "bucket int, kind int, id bigint, codes binary, ids binary")
+                pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "owner", "codes", "ids"])
+    return docs.mapInArrow(emit, "bucket int, kind int, owner int, codes binary, ids binary")
 
 
 def _arrays(t, kind, wanted):
@@ -141,11 +147,12 @@ class SuffixIndex:
         self.levels: list[DataFrame | None] = []
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """Adds ``(id, text)``, and returns a written table ``(bucket, kind, id,
-        codes, ids)``: per text codes that are wholly in earlier texts (kind 1),
-        and codes to compare byte by byte, as they share their gram with others
+        """Adds ``(id, text)``, and returns a written table ``(bucket, kind, owner,
+        codes, ids)``: codes that are wholly in earlier texts with the ids of the
+        later ones, packed by ``owner``, a hash of the id (kind 1), and codes to compare byte by byte, as they share their gram with others
         of other texts, each with its first text (kind 2).  With ``last`` the
         batch itself is not kept in the index."""
+        buckets = self.buckets
         free = next((i for i, level in enumerate(self.levels) if level is None), len(self.levels))
         rows = suffix_entries(docs, self.buckets)
         for i, level in enumerate(self.levels):
@@ -155,7 +162,7 @@ class SuffixIndex:
         def scan(t):
             kind = t.column("kind").to_numpy()
             bucket = t.column("bucket")[0].as_py()
-            out = [(bucket, 1, i, c, b"") for i, c, k in zip(t.column("id").to_pylist(), t.column("codes").to_pylist(), kind) if k == 1]
+            out = [(bucket, 1, o, c, i) for o, c, i, k in zip(*(t.column(x).to_pylist() for x in ("owner", "codes", "ids")), kind) if k == 1]
             code, ids, least = _least_id(*_arrays(t, kind, 0))
             levels = {int(k): _arrays(t, kind, k) for k in np.unique(kind) if k >= 10}
             known = np.zeros(len(code), bool)
@@ -163,10 +170,7 @@ class SuffixIndex:
                 place = np.searchsorted(c, code)
                 known |= (place < len(c)) & (c[np.minimum(place, len(c) - 1)] == code) if len(c) else False
             whole = known | (ids > least)
-            order = np.argsort(ids[whole], kind="stable")
-            c, i = code[whole][order], ids[whole][order]
-            at = _begins(i)
-            out += [(bucket, 1, int(i[x]), c[x:y].tobytes(), b"") for x, y in zip(at[:-1], at[1:])]
+            out += [(bucket, *row[1:]) for row in _by_owner(code[whole], ids[whole], buckets)]
             # Codes that are new, with all codes of the same gram before them.
             fresh = ~known & (ids == least)
             fresh[1:] &= code[1:] != code[:-1]
@@ -193,9 +197,9 @@ class SuffixIndex:
                 c, i = c[i == low], i[i == low]
                 out.append((bucket, 3, None, c.tobytes(), i.tobytes()))
             return pa.table([pa.array(x, y) for x, y in zip(zip(*out), (
-                pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "kind", "id", "codes", "ids"]) if out else t.slice(0, 0)
+                pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "owner", "codes", "ids"]) if out else t.slice(0, 0)
 
-        made = written(rows.groupBy("bucket").applyInArrow(scan, "bucket int, kind int, id bigint, codes binary, ids binary"), "suffixes")
+        made = written(rows.groupBy("bucket").applyInArrow(scan, "bucket int, kind int, owner int, codes binary, ids binary"), "suffixes")
         if not last:
             self.levels[:free + 1] = [None] * free + [made.where("kind = 3")]
         return made.where("kind < 3")
@@ -272,7 +276,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         got = index.add(part, last=j == len(edges))
         found = got if found is None else found.union(got)
 
-    whole = found.where("kind = 1").groupBy("id").agg(F.collect_list("codes").alias("whole"))
+    def by_text(t):
+        code, ids = _arrays(t, np.ones(t.num_rows, int), 1)
+        order = np.lexsort((code, ids))
+        code, ids = code[order], ids[order]
+        at = _begins(ids)
+        return pa.table({"id": pa.array(ids[at[:-1]], pa.int64()),
+                         "whole": pa.array([code[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())})
+
+    whole = found.where("kind = 1").groupBy("owner").applyInArrow(by_text, "id bigint, whole binary")
 
     def unpack(t: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in t:
@@ -328,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             if len(told):
                 some = b.take(pa.array(told))
                 inner, places = utf8(some.column("text"))
-                whole = [np.frombuffer(b"".join(w.as_py() or []), _U) for w in some.column("whole")]
+                whole = [np.frombuffer(w.as_py() or b"", _U) for w in some.column("whole")]
                 part = [np.array(c.as_py() or [], np.int64).view(_U) for c in some.column("codes")]
                 bits = np.array([m for x in some.column("masks") for m in (x.as_py() or [])], np.int64).view(_U)
                 own, every = np.repeat(np.arange(len(told)), [len(w) for w in whole]), np.concatenate(whole)
