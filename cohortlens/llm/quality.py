@@ -158,7 +158,7 @@ def chi2_quantile(share: float, p: int) -> float:
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
-                  cutoff: float = 100.0, least: int = 50) -> DataFrame:
+                  cutoff: float = 225.0, least: int = 50) -> DataFrame:
     """Every column of ``docs``, the counts, ``base_failed``, ``distance`` and ``kept``.
 
     A text fails outright with fewer than 50 words, or if more than half of its
