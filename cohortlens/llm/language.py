@@ -23,6 +23,8 @@ from .text import slices, utf8
 FEATURES = 1 << 12
 #: Upper ends of the length classes (in n-grams) that have a distance limit of their own.
 LENGTHS = (25, 50, 100, 200, 400, 800, 1600)
+#: Lengths (in bytes) at which sample texts are cut to learn those limits.
+CUTS = (25, 100, 400)
 UNKNOWN = "und"
 
 
@@ -117,27 +119,29 @@ def sample(labelled: DataFrame, per_language: int, most: int = 64) -> DataFrame:
     return out.select("lang", "text")
 
 
-def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, rounds: int = 12,
-        margin: float = 0.6) -> Model | None:
+def fit(labelled: DataFrame, per_language: int = 250, centroids: int = 4, rounds: int = 12,
+        margin: float = 0.3) -> Model | None:
     """A model from rows ``(lang, text)``; None without a labelled text.
 
     At most ``per_language`` texts a language are used (bounded sample of
-    labelled rows); their feature counts, not their texts, come to the driver.
+    labelled rows); their feature counts, not their texts, come to the driver:
+    20 KB for each text.
     A length class's limit is ``margin`` times the least similarity of pieces of
-    the sample of that length.
+    the sample of that length; a text of the shortest class shows too little to
+    be rejected.
     """
     rows = sample(labelled.where("lang IS NOT NULL AND text IS NOT NULL"), per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
             data, offsets = utf8(_lowered(b.column("text")))
-            full = features(data, offsets).astype(np.uint32)
+            full = np.minimum(features(data, offsets), 65535).astype(np.uint16)
             # The same texts cut short, for the distance limits of short texts.
             cut = []
-            for end in LENGTHS[:-1]:
+            for end in CUTS:
                 size = np.minimum(np.diff(offsets), end)
                 part = np.concatenate([data[o:o + s] for o, s in zip(offsets[:-1], size)] or [data[:0]])
-                cut.append(features(part, np.concatenate(([0], np.cumsum(size)))).astype(np.uint16))
+                cut.append(np.minimum(features(part, np.concatenate(([0], np.cumsum(size)))), 255).astype(np.uint8))
             yield pa.RecordBatch.from_arrays(
                 [b.column("lang"), pa.array([r.tobytes() for r in full], pa.binary()),
                  pa.array([np.stack(r).tobytes() for r in zip(*cut)], pa.binary())], ["lang", "counts", "cut"])
@@ -147,8 +151,8 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, rounds
         return None
     # The least bytes first: the result does not depend on the order of the rows.
     got = got.sort_values(["lang", "counts"]).reset_index(drop=True)
-    counts = np.stack([np.frombuffer(c, np.uint32) for c in got["counts"]]).astype(np.float32)
-    cuts = np.stack([np.frombuffer(c, np.uint16).reshape(-1, FEATURES) for c in got["cut"]])
+    counts = np.stack([np.frombuffer(c, np.uint16) for c in got["counts"]]).astype(np.float32)
+    cuts = np.stack([np.frombuffer(c, np.uint8).reshape(-1, FEATURES) for c in got["cut"]])
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + np.float32(0.1)
     unit = _unit(np.log1p(counts) * idf)
     languages, centers = [], []
@@ -168,7 +172,7 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, rounds
         cosine = np.where(own, model.vectors(part) @ center.T, -1)
         np.minimum.at(least, (cosine.argmax(1), _length_class(part)), cosine.max(1))
     # The limit never falls with length; a class without a labelled text takes that of shorter ones.
-    least[:, 0] = np.where(np.isinf(least[:, 0]), 0, least[:, 0])
+    least[:, 0] = 0
     for j in range(1, least.shape[1]):
         least[:, j] = np.where(np.isinf(least[:, j]), least[:, j - 1], np.maximum(least[:, j], least[:, j - 1] * 0.9))
     return Model(languages, idf, center, least * margin)
