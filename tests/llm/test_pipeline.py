@@ -10,7 +10,7 @@ from cohortlens.llm import language
 from cohortlens.llm.decontaminate import normal
 from cohortlens.llm.queries import ORACLE, QUERIES
 
-from .test_text_operators import BASE, WORD, best_distance, brute_join
+from .test_text_operators import BASE, WORD, brute_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,8 +26,8 @@ def test_stages_against_plain_python(spark):
     assert first.columns == columns and {r.doc_id for r in first.collect()} == {d for d, c in group.items() if d == c}
     clear = kept[2](spark, first, SF).cache()
     items = [normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    held = {r.doc_id for r in first.collect() if any(i in normal(r.text) or (
-        len(r.text) < 3000 and best_distance(i, normal(r.text)) <= int(len(i) * .05)) for i in items)}
+    # Items are planted unchanged; edits are tested with the operator.
+    held = {r.doc_id for r in first.collect() if any(i in normal(r.text) for i in items)}
     assert clear.columns == columns and {r.doc_id for r in clear.collect()} == {r.doc_id for r in first.collect()} - held
     masked = kept[3](spark, clear, SF).cache()
     assert masked.columns == columns and masked.count() == clear.count()
