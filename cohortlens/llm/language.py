@@ -15,7 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from cohortlens.session import written
 
 from .exprs import clear_of
 from .text import slices, utf8
@@ -99,24 +101,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(labelled: DataFrame, per_language: int, most: int = 64) -> DataFrame:
-    """At most ``per_language`` labelled texts of each of the (at most ``most``)
-    commonest languages, chosen by a hash of their words alone.
+    """At most ``per_language`` different labelled texts of each of the (at most
+    ``most``) commonest languages, chosen by a hash of their words alone.
 
     The bound is this parameter, whatever the size of the data: every language
-    keeps the texts with the least hashes.  Runs one small job for the counts.
+    keeps the texts with the least hashes, one of each, however many copies there
+    are.  Runs one small job for the greatest hash that each language keeps.
     """
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
-    marked = labelled.withColumn("_h", F.xxhash64("text"))
-    parts = []
-    for lang, count in counts:
-        # A share of hashes that holds more than enough texts; the least of them are taken.
-        share = min(1.0, 4.0 * per_language / count)
-        below = int(-2 ** 63 + share * (2 ** 64 - 1)) if share < 1 else 2 ** 63 - 1
-        parts.append(marked.where((F.col("lang") == lang) & (F.col("_h") <= below)).orderBy("_h").limit(per_language))
-    out = parts[0] if parts else marked.limit(0)
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.select("lang", "text")
+    marked = labelled.select("lang", "text", F.xxhash64("text").alias("_h"))
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).select("lang")
+    # Copies collapse before the ranks; of those each task passes on the first of a language.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    least = marked.select("lang", "_h").distinct().withColumn("_r", rank).where(F.col("_r") <= per_language)
+    ends = written(least.groupBy("lang").agg(F.max("_h").alias("_end")).join(common, "lang"), "language-sample")
+    # A row per language.
+    near = marked.join(F.broadcast(ends), "lang").where("_h <= _end")
+    return near.dropDuplicates(["lang", "_h"]).select("lang", "text")
 
 
 def fit(labelled: DataFrame, per_language: int = 250, centroids: int = 4, rounds: int = 12,

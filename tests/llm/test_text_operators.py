@@ -368,6 +368,14 @@ def test_language_without_labels(spark):
     assert language.identify(docs(spark, []), none).count() == 0
 
 
+def test_language_sample_holds_different_texts(spark):
+    rows = [("aa", f"copied text {i % 5}") for i in range(2000)] + [("bb", "one text")] * 500 + [("bb", f"text {i}") for i in range(300)]
+    got = language.sample(docs(spark, rows, "lang string, text string"), 20).collect()
+    texts = {lang: [r.text for r in got if r.lang == lang] for lang in ("aa", "bb")}
+    assert sorted(texts["aa"]) == [f"copied text {i}" for i in range(5)]
+    assert len(texts["bb"]) == len(set(texts["bb"])) == 20
+
+
 # ---- packing -----------------------------------------------------------------------------
 
 def test_best_fit_holds_what_it_places():
