@@ -100,22 +100,31 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def sample(labelled: DataFrame, per_language: int, most: int = 64) -> DataFrame:
-    """At most ``per_language`` different labelled texts of each of the (at most
-    ``most``) commonest languages, chosen by a hash of their words alone.
+def sample(labelled: DataFrame, per_language: int) -> DataFrame:
+    """At most ``per_language`` different labelled texts of every language, chosen
+    by a hash of their words alone.
 
     The bound is this parameter, whatever the size of the data: every language
     keeps the texts with the least hashes, one of each, however many copies there
-    are.  Runs one small job for the greatest hash that each language keeps.
+    are.  Runs small jobs for the greatest hash that each language keeps.
     """
     marked = labelled.select("lang", "text", F.xxhash64("text").alias("_h"))
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).select("lang")
-    # Copies collapse before the ranks; of those each task passes on the first of a language.
+    hashes = written(marked.select("lang", "_h").distinct(), "language-hashes")
+    sizes = hashes.groupBy("lang").agg(F.count("*").alias("_n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    least = marked.select("lang", "_h").distinct().withColumn("_r", rank).where(F.col("_r") <= per_language)
-    ends = written(least.groupBy("lang").agg(F.max("_h").alias("_end")).join(common, "lang"), "language-sample")
+
+    def ends(few: DataFrame) -> DataFrame:
+        ranked = few.withColumn("_r", rank).where(F.col("_r") <= per_language)
+        return written(ranked.groupBy("lang").agg(F.max("_h").alias("_end"), F.max("_r").alias("_r"), F.first("_n").alias("_n")), "language-ends")
+
+    # Among about four times as many of the least hashes as wanted; all of them if that is too few.
+    placed = hashes.join(F.broadcast(sizes), "lang")
+    below = (4.0 * per_language / F.col("_n") * 2.0 ** 64 - 2.0 ** 63).cast("bigint")
+    last = ends(placed.where((F.col("_n") <= 4 * per_language) | (F.col("_h") <= below)))
+    if last.where(F.col("_r") < F.least("_n", F.lit(per_language))).count() or last.count() < sizes.count():
+        last = ends(placed)
     # A row per language.
-    near = marked.join(F.broadcast(ends), "lang").where("_h <= _end")
+    near = marked.join(F.broadcast(last.select("lang", "_end")), "lang").where("_h <= _end")
     return near.dropDuplicates(["lang", "_h"]).select("lang", "text")
 
 
@@ -124,8 +133,9 @@ def fit(labelled: DataFrame, per_language: int = 250, centroids: int = 4, rounds
     """A model from rows ``(lang, text)``; None without a labelled text.
 
     At most ``per_language`` texts a language are used (bounded sample of
-    labelled rows); their feature counts, not their texts, come to the driver:
-    20 KB for each text.
+    labelled rows), of every language there is.  Their feature counts, 20 KB for
+    each text, are written, and each language's centroids are found in a task of
+    their own; only centroids and limits come to the driver: 64 KB a language.
     A length class's limit is ``margin`` times the least similarity of pieces of
     the sample of that length; a text of the shortest class shows too little to
     be rejected.
@@ -146,36 +156,58 @@ def fit(labelled: DataFrame, per_language: int = 250, centroids: int = 4, rounds
                 [b.column("lang"), pa.array([r.tobytes() for r in full], pa.binary()),
                  pa.array([np.stack(r).tobytes() for r in zip(*cut)], pa.binary())], ["lang", "counts", "cut"])
 
-    got = rows.mapInArrow(count, "lang string, counts binary, cut binary").toPandas()
-    if not len(got):
+    table = written(rows.mapInArrow(count, "lang string, counts binary, cut binary"), "language-counts")
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(FEATURES, np.int64), 0
+        for b in batches:
+            for c in b.column("counts"):
+                total += np.frombuffer(c.as_buffer(), np.uint16) > 0
+                n += 1
+        # The last row counts texts.
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array(np.append(total, n))], ["feature", "n"])
+
+    found = table.select("counts").mapInArrow(present, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    seen = np.zeros(FEATURES + 1, np.int64)
+    for feature, n in found.collect():
+        seen[feature] = n
+    if not seen[-1]:
         return None
-    # The least bytes first: the result does not depend on the order of the rows.
-    got = got.sort_values(["lang", "counts"]).reset_index(drop=True)
-    counts = np.stack([np.frombuffer(c, np.uint16) for c in got["counts"]]).astype(np.float32)
-    cuts = np.stack([np.frombuffer(c, np.uint8).reshape(-1, FEATURES) for c in got["cut"]])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + np.float32(0.1)
-    unit = _unit(np.log1p(counts) * idf)
-    languages, centers = [], []
-    for lang, index in got.groupby("lang").indices.items():
-        own = unit[index]
-        center = own[np.linspace(0, len(own) - 1, min(centroids, len(own))).astype(int)]
-        for _ in range(rounds):
-            near = (own @ center.T).argmax(1)
-            center = _unit(np.stack([own[near == c].sum(0) if (near == c).any() else center[c] for c in range(len(center))]))
-        languages += [lang] * len(center)
-        centers.append(center)
-    center = np.concatenate(centers).astype(np.float32)
-    model = Model(languages, idf, center, np.zeros((len(center), len(LENGTHS) + 1)))
-    own = np.array(languages)[None, :] == got["lang"].to_numpy()[:, None]
+    idf = np.log((1 + seen[-1]) / (1 + seen[:-1])).astype(np.float32) + np.float32(0.1)
+
+    def learn(t: pa.Table) -> pa.Table:
+        # The least bytes first: the result does not depend on the order of the rows.
+        got = sorted(zip(t.column("counts").to_pylist(), t.column("cut").to_pylist()))
+        counts = np.stack([np.frombuffer(c, np.uint16) for c, _ in got]).astype(np.float32)
+        cuts = np.stack([np.frombuffer(c, np.uint8).reshape(-1, FEATURES) for _, c in got])
+        center, least = _centroids(counts, cuts, idf, centroids, rounds)
+        return pa.table({"lang": t.column("lang").slice(0, 1), "size": pa.array([len(center)]),
+                         "centroids": pa.array([center.tobytes()], pa.binary()), "least": pa.array([least.tobytes()], pa.binary())})
+
+    learnt = table.groupBy("lang").applyInArrow(learn, "lang string, size bigint, centroids binary, least binary")
+    got = sorted(learnt.collect(), key=lambda r: r["lang"])
+    return Model([r["lang"] for r in got for _ in range(r["size"])], idf,
+                 np.frombuffer(b"".join(r["centroids"] for r in got), np.float32).reshape(-1, FEATURES),
+                 np.frombuffer(b"".join(r["least"] for r in got)).reshape(-1, len(LENGTHS) + 1) * margin)
+
+
+def _centroids(counts: np.ndarray, cuts: np.ndarray, idf: np.ndarray, centroids: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of one language's texts, and the least similarity of its pieces per centroid and length class."""
+    own = _unit(np.log1p(counts) * idf)
+    center = own[np.linspace(0, len(own) - 1, min(centroids, len(own))).astype(int)]
+    for _ in range(rounds):
+        near = (own @ center.T).argmax(1)
+        center = _unit(np.stack([own[near == c].sum(0) if (near == c).any() else center[c] for c in range(len(center))]))
+    center = center.astype(np.float32)
     least = np.full((len(center), len(LENGTHS) + 1), np.inf)
     for part in [counts, *(cuts[:, j].astype(np.float32) for j in range(cuts.shape[1]))]:
-        cosine = np.where(own, model.vectors(part) @ center.T, -1)
+        cosine = _unit(np.log1p(part) * idf) @ center.T
         np.minimum.at(least, (cosine.argmax(1), _length_class(part)), cosine.max(1))
     # The limit never falls with length; a class without a labelled text takes that of shorter ones.
     least[:, 0] = 0
     for j in range(1, least.shape[1]):
         least[:, j] = np.where(np.isinf(least[:, j]), least[:, j - 1], np.maximum(least[:, j], least[:, j - 1] * 0.9))
-    return Model(languages, idf, center, least * margin)
+    return center, least
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

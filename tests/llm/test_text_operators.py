@@ -376,6 +376,16 @@ def test_language_sample_holds_different_texts(spark):
     assert len(texts["bb"]) == len(set(texts["bb"])) == 20
 
 
+def test_every_language_is_learnt(spark):
+    word = lambda i: "".join(chr(97 + int(d)) * 2 for d in f"{i * 7919 % 100000:05d}")
+    rows = [(f"l{i:02d}", f"{word(i)} {word(i + 100)} " * 20 + f"{word(i)} " * j) for i in range(70) for j in range(2)]
+    d = docs(spark, rows, "lang string, text string")
+    model = language.fit(d)
+    assert sorted(set(model.languages)) == [f"l{i:02d}" for i in range(70)]
+    out = language.identify(d, model).collect()
+    assert len(out) == 140 and all(r.lang == r.lang_pred for r in out)
+
+
 # ---- packing -----------------------------------------------------------------------------
 
 def test_best_fit_holds_what_it_places():
