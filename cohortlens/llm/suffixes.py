@@ -3,8 +3,8 @@
 The suffixes that are indexed start at content-chosen positions: within every
 string of ``LENGTH`` bytes the position whose next ``GRAM`` bytes hash least.
 Equal strings choose the same position, so any repeat is seen at such a suffix.
-A batch's suffixes are sorted by the hash of their first bytes, then by that of
-their surroundings (all strings that chose the position).  The sorted array is
+A batch's suffixes are dealt out by the hash of their first bytes and sorted by that
+of their surroundings (all strings that chose the position).  The sorted array is
 scanned against those of earlier batches; arrays of equal size are merged, so
 that there are at most logarithmically many.
 """
@@ -30,6 +30,9 @@ BUCKET_BYTES = 24 << 20
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
+_NAMES = ["bucket", "kind", "owner", "codes", "ids", "grams"]
+_TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+_ROWS = "bucket int, kind int, owner int, codes binary, ids binary, grams binary"
 _PLACE = _U((1 << 23) - 1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
 
@@ -44,8 +47,8 @@ def _prefix(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Chosen positions of texts: arrays of the text's index, the first and last
     start of the strings that chose the position, the position, the hash of its
-    gram and a code: 32 bits of that hash, then 32 bits of a hash of all those
-    strings and where the position is in them."""
+    gram and a code: the 64 bits of a hash of all those strings and where the
+    position is in them."""
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     for low in range(0, len(data), PIECE):
         part = data[low:low + PIECE + LENGTH - 1]
@@ -72,9 +75,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         # A run of strings ends before the next one begins, or with the last string of its text.
         at, whose = place[s1].astype(np.int64), own[s1]
         s2 = np.minimum(np.append(s1[1:], n - LENGTH + 1) - 1, np.minimum(offsets[whose + 1] - low, n) - LENGTH)
-        around = mix((total[s2 + LENGTH] - total[s1]) * down[s1] + mix(((at - s1) * 64 + (s2 - s1) + 1).astype(_U)))
-        key = mix(grams[at])
-        yield whose, s1 + low, s2 + low, at + low, key, ((key & _LOW) << _U(32)) | (around >> _U(32))
+        code = mix((total[s2 + LENGTH] - total[s1]) * down[s1] + mix(((at - s1) * 64 + (s2 - s1) + 1).astype(_U)))
+        yield whose, s1 + low, s2 + low, at + low, mix(grams[at]), code
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -85,12 +87,12 @@ def _begins(x: np.ndarray) -> np.ndarray:
     return np.concatenate((np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))), [len(x)])) if len(x) else np.zeros(1, np.int64)
 
 
-def _least_id(code: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries sorted by code and id; the last array has the least id of each code, entry by entry."""
+def _least_id(code: np.ndarray, ids: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries (code, id, gram) sorted by code and id; the last array has the least id of each code, entry by entry."""
     order = np.lexsort((ids, code))
-    code, ids = code[order], ids[order]
+    code, ids, gram = code[order], ids[order], gram[order]
     at = _begins(code)
-    return code, ids, np.repeat(ids[at[:-1]], np.diff(at))
+    return code, ids, gram, np.repeat(ids[at[:-1]], np.diff(at))
 
 
 def _by_owner(code: np.ndarray, ids: np.ndarray, buckets: int) -> list[tuple]:
@@ -103,9 +105,10 @@ def _by_owner(code: np.ndarray, ids: np.ndarray, buckets: int) -> list[tuple]:
 
 
 def suffix_entries(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows ``(bucket, kind, owner, codes, ids)``: per slice of texts and bucket
-    the codes with the ids they are in (kind 0); codes that an earlier text of
-    the slice has too (kind 1), which need not be compared further."""
+    """Rows ``(bucket, kind, owner, codes, ids, grams)``: per slice of texts and
+    bucket the codes with the ids they are in and 32 bits of their grams' hashes
+    (kind 0); codes that an earlier text of the slice has too (kind 1), which
+    need not be compared further and have no grams."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             ids = b.column("id").to_numpy()
@@ -114,18 +117,18 @@ def suffix_entries(docs: DataFrame, buckets: int) -> DataFrame:
                 continue
             row, key, code = (np.concatenate(x) for x in zip(*got))
             own = ids[row]
-            order = np.lexsort((own, code, _bucket(key, buckets)))
-            code, own, bucket = code[order], own[order], _bucket(key, buckets)[order]
+            bucket, gram = _bucket(key, buckets), (key & _LOW).astype(np.uint32)
+            order = np.lexsort((own, code, bucket))
+            code, own, bucket, gram = code[order], own[order], bucket[order], gram[order]
             first = np.concatenate(([True], (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1])))
             least = np.repeat(own[first], np.diff(np.append(np.flatnonzero(first), len(own))))
-            rows = []
-            rows += _by_owner(code[own > least], own[own > least], buckets)
-            code, own, bucket = code[first], own[first], bucket[first]
+            rows = [(*r, None) for r in _by_owner(code[own > least], own[own > least], buckets)]
+            code, own, bucket, gram = code[first], own[first], bucket[first], gram[first]
             at = _begins(bucket)
-            rows += [(int(bucket[x]), 0, None, code[x:y].tobytes(), own[x:y].tobytes()) for x, y in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
-                pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "owner", "codes", "ids"])
-    return docs.mapInArrow(emit, "bucket int, kind int, owner int, codes binary, ids binary")
+            rows += [(int(bucket[x]), 0, None, code[x:y].tobytes(), own[x:y].tobytes(), gram[x:y].tobytes())
+                     for x, y in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
+    return docs.mapInArrow(emit, _ROWS)
 
 
 def _arrays(t, kind, wanted):
@@ -134,6 +137,10 @@ def _arrays(t, kind, wanted):
     return np.frombuffer(b"".join(codes), _U), np.frombuffer(b"".join(ids), np.int64)
 
 
+def _grams(t, kind, wanted):
+    return np.frombuffer(b"".join(g for g, k in zip(t.column("grams").to_pylist(), kind) if k == wanted), np.uint32)
+
+
 class SuffixIndex:
     """Sorted suffix arrays of the texts added so far, as written tables, level by level.
 
@@ -148,7 +155,7 @@ class SuffixIndex:
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
         """Adds ``(id, text)``, and returns a written table ``(bucket, kind, owner,
-        codes, ids)``: codes that are wholly in earlier texts with the ids of the
+        codes, ids, grams)``: codes that are wholly in earlier texts with the ids of the
         later ones, packed by ``owner``, a hash of the id (kind 1), and codes to compare byte by byte, as they share their gram with others
         of other texts, each with its first text (kind 2).  With ``last`` the
         batch itself is not kept in the index."""
@@ -162,44 +169,43 @@ class SuffixIndex:
         def scan(t):
             kind = t.column("kind").to_numpy()
             bucket = t.column("bucket")[0].as_py()
-            out = [(bucket, 1, o, c, i) for o, c, i, k in zip(*(t.column(x).to_pylist() for x in ("owner", "codes", "ids")), kind) if k == 1]
-            code, ids, least = _least_id(*_arrays(t, kind, 0))
-            levels = {int(k): _arrays(t, kind, k) for k in np.unique(kind) if k >= 10}
+            out = [(bucket, 1, o, c, i, None) for o, c, i, k in zip(*(t.column(x).to_pylist() for x in ("owner", "codes", "ids")), kind) if k == 1]
+            code, ids, gram, least = _least_id(*_arrays(t, kind, 0), _grams(t, kind, 0))
+            levels = {int(k): (*_arrays(t, kind, k), _grams(t, kind, k)) for k in np.unique(kind) if k >= 10}
             known = np.zeros(len(code), bool)
-            for c, _ in levels.values():
+            for c, _, _ in levels.values():
                 place = np.searchsorted(c, code)
                 known |= (place < len(c)) & (c[np.minimum(place, len(c) - 1)] == code) if len(c) else False
             whole = known | (ids > least)
-            out += [(bucket, *row[1:]) for row in _by_owner(code[whole], ids[whole], buckets)]
+            out += [(bucket, *row[1:], None) for row in _by_owner(code[whole], ids[whole], buckets)]
             # Codes that are new, with all codes of the same gram before them.
             fresh = ~known & (ids == least)
             fresh[1:] &= code[1:] != code[:-1]
-            new_code, new_id = code[fresh], ids[fresh]
-            grams = np.unique(new_code >> _U(32))
-            codes, owners = [new_code], [new_id]
-            for c, i in levels.values():
-                g = c >> _U(32)
-                place = np.searchsorted(grams, g)
-                same = (place < len(grams)) & (grams[np.minimum(place, len(grams) - 1)] == g) if len(grams) else np.zeros(len(c), bool)
-                codes.append(c[same])
-                owners.append(i[same])
+            new = code[fresh], ids[fresh], gram[fresh]
+            wanted = np.unique(new[2])
+            near = [new]
+            for level in levels.values():
+                place = np.searchsorted(wanted, level[2])
+                same = (place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == level[2]) if len(wanted) else np.zeros(len(level[2]), bool)
+                near.append(tuple(x[same] for x in level))
             # A code may be in several levels: the one with the least id counts.
-            c, i, low = _least_id(np.concatenate(codes), np.concatenate(owners))
-            c, i = c[i == low], i[i == low]
-            at = _begins(c >> _U(32))
+            c, i, g, low = _least_id(*(np.concatenate(x) for x in zip(*near)))
+            order = np.flatnonzero(i == low)
+            order = order[np.argsort(g[order], kind="stable")]
+            c, i, g = c[order], i[order], g[order]
+            at = _begins(g)
             if len(c):
                 mixed = np.minimum.reduceat(i, at[:-1]) != np.maximum.reduceat(i, at[:-1])
                 mixed = np.repeat(mixed, np.diff(at))
-                out.append((bucket, 2, None, c[mixed].tobytes(), i[mixed].tobytes()))
+                out.append((bucket, 2, None, c[mixed].tobytes(), i[mixed].tobytes(), None))
             if not last:
-                merged = [(new_code, new_id), *(levels[k] for k in levels if k < 10 + free)]
-                c, i, low = _least_id(*(np.concatenate(x) for x in zip(*merged)))
-                c, i = c[i == low], i[i == low]
-                out.append((bucket, 3, None, c.tobytes(), i.tobytes()))
-            return pa.table([pa.array(x, y) for x, y in zip(zip(*out), (
-                pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "owner", "codes", "ids"]) if out else t.slice(0, 0)
-
-        made = written(rows.groupBy("bucket").applyInArrow(scan, "bucket int, kind int, owner int, codes binary, ids binary"), "suffixes")
+                merged = [new, *(levels[k] for k in levels if k < 10 + free)]
+                c, i, g, low = _least_id(*(np.concatenate(x) for x in zip(*merged)))
+                c, i, g = c[i == low], i[i == low], g[i == low]
+                out.append((bucket, 3, None, c.tobytes(), i.tobytes(), g.tobytes()))
+            return pa.table([pa.array(x, y) for x, y in zip(zip(*out), _TYPES)], names=_NAMES) if out else t.slice(0, 0)
+
+        made = written(rows.groupBy("bucket").applyInArrow(scan, _ROWS), "suffixes")
         if not last:
             self.levels[:free + 1] = [None] * free + [made.where("kind = 3")]
         return made.where("kind < 3")

@@ -302,6 +302,16 @@ def test_repeats_of_nothing_and_texts_longer_than_a_piece(spark, monkeypatch):
     assert {(s - 100, o) for s, o in seen[0] if 100 <= s <= 2450} == {(s, o) for s, o in seen[1] if s <= 2350}
 
 
+def test_surroundings_with_half_a_hash_in_common_stay(spark):
+    # Pairs around one gram whose surroundings agree in the upper 32 bits of their hash.
+    pairs = [("dspxfvpiaccixhjxkemchdmxsbayhdinzygaxohfpdfainjgrb", "gevpwzjvfhagcrlaxemchdmxsbayhdinzyygzeyjodgufuckpr"),
+             ("rhwzxlohelqhxfgsjemchdmxsbayhdinznvvndnposoyluvakr", "ejqzgcifudppukafnemchdmxsbayhdinzabnzikbzzpeslxvhk")]
+    rows = [(i, t) for i, t in enumerate(t for p in pairs for t in p)]
+    for batches in (1, 2):
+        got = suffixes.remove_repeats(docs(spark, rows), batches=batches).collect()
+        assert len(got) == 4 and all(r.n_removed == 0 for r in got)
+
+
 # ---- decontamination ---------------------------------------------------------------
 
 def best_distance(item, t):
