@@ -21,6 +21,10 @@ from .exprs import SPACES, clear_of, let, words
 #: have: below it differences are not evidence of anything.
 VECTOR = ("v_length", "v_word", "v_symbol", "v_line", "v_repeat")
 FLOORS = (0.5, 0.04, 0.02, 0.05, 0.05)
+#: Words that one repeated window of three covers.
+REPEAT_UNIT = 6
+#: Share of normal texts whose distance the default cutoff admits.
+ADMITTED = 0.9999
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 GROUP = ("_lang", "_source")
 
@@ -68,13 +72,30 @@ def _vector() -> list[Column]:
     return [v.cast("double").alias(name) for v, name in zip(values, VECTOR)]
 
 
-def _distance(center: Sequence[Column], factor: dict) -> Column:
+def _noise() -> list[Column]:
+    """Variance that each statistic of a text has from its own size.  The root of
+    a count's share varies by half the root of the share that one count makes up:
+    one repeated line of a short text says little, half of many lines a lot."""
+    n, chars, lines = (F.greatest(c, F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
+    values = (F.lit(0.0), F.lit(0.0), 0.25 / chars, 0.25 / lines, 0.25 * REPEAT_UNIT / n)
+    return [v.cast("double").alias(f"e_{i}") for i, v in enumerate(values)]
+
+
+def _shrunk(factor: dict, scale: Column) -> list[Column]:
+    """What is left of each deviation when a text's noise joins the scatter's variance."""
+    spread = [scale * sum((factor[i, j] * factor[i, j] for j in range(i + 1)), F.lit(0.0)) for i in range(len(VECTOR))]
+    return [F.sqrt(v / (v + F.col(f"e_{i}"))) for i, v in enumerate(spread)]
+
+
+def _distance(center: Sequence[Column], factor: dict, left: Sequence[Column] | None = None) -> Column:
     """Squared Mahalanobis distance by forward substitution; ``factor`` holds
-    the lower Cholesky factor of the scatter."""
+    the lower Cholesky factor of the scatter, ``left`` the part of each deviation that counts."""
     total = F.lit(0.0)
     solved: list[Column] = []
     for i, name in enumerate(VECTOR):
         rest = F.col(name) - center[i]
+        if left:
+            rest = rest * left[i]
         for j in range(i):
             rest = rest - factor[i, j] * solved[j]
         solved.append(rest / factor[i, i])
@@ -158,12 +179,14 @@ def chi2_quantile(share: float, p: int) -> float:
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
-                  cutoff: float = 225.0, least: int = 50) -> DataFrame:
+                  cutoff: float | None = None, least: int = 50) -> DataFrame:
     """Every column of ``docs``, the counts, ``base_failed``, ``distance`` and ``kept``.
 
     A text fails outright with fewer than 50 words, or if more than half of its
     words lie in repeated windows of three.  Among the others, those whose
-    squared robust distance is above ``cutoff`` are rejected.  A group of
+    squared robust distance is above ``cutoff`` are rejected; by default that is
+    the quantile ``ADMITTED`` of a normal vector's distances.  A text's own noise
+    (its counts are whole numbers) is part of the variance it is held against.  A group of
     language and source with fewer than ``least`` such texts has no scatter of
     its own and uses that of its language, and a language with too few that of
     all texts.  Null languages and sources form groups of their own; a null or
@@ -192,11 +215,12 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     rows = good.withColumn("k", F.explode(F.array(*marks))).join(needed, "k", "left_semi").select(
         F.col("k.level").alias("_level"), F.col("k.a").alias("_a"), F.col("k.b").alias("_b"), *VECTOR)
     model = estimates(written(rows, "quality-rows"), ["_level", "_a", "_b"])
-    placed = table.select("*", *_vector()).join(choice, list(GROUP), "left").withColumns({
+    placed = table.select("*", *_vector(), *_noise()).join(choice, list(GROUP), "left").withColumns({
         "_a": F.when(F.col("_level") < 2, F.col("_lang")).otherwise(""),
         "_b": F.when(F.col("_level") == 0, F.col("_source")).otherwise("")}).join(model, ["_level", "_a", "_b"], "left")
     center, factor = _factor_columns()
-    distance = F.when(~F.col("base_failed"), _distance(center, factor) / F.col("_scale"))
+    distance = F.when(~F.col("base_failed"), _distance(center, factor, _shrunk(factor, F.col("_scale"))) / F.col("_scale"))
+    cutoff = chi2_quantile(ADMITTED, len(VECTOR)) if cutoff is None else cutoff
     return placed.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], *COUNTS, "base_failed",
                          distance.alias("distance")).withColumn(
         "kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff))

@@ -157,6 +157,23 @@ def test_robust_outliers(spark):
     assert quality.quality_rules(docs(spark, [], DOCS + ", lang string, source string")).count() == 0
 
 
+def test_each_statistic_alone_rejects(spark):
+    rng = random.Random(4)
+    lines = lambda n, words=12: [prose(rng, words, 5000) for _ in range(n)]
+    rows = [(i, "\n".join(lines(rng.randrange(7, 33)))) for i in range(300)]
+    part = prose(rng, 48, 5000)
+    odd = {"lines": "\n".join(x for t in lines(20) for x in (t, "same")), "repeats": "\n".join([*lines(9), part + " x " + part]),
+           "symbols": " ".join(w + "#" * (i % 3 == 0) for i, w in enumerate(prose(rng, 200, 5000).split())),
+           "length": "\n".join(lines(1700)), "word": "\n".join(t.replace("w", "www") for t in lines(17))}
+    once = lines(7)
+    rows += [(1000 + i, t) for i, t in enumerate(odd.values())] + [(2000, "\n".join(once + once[2:3]))]
+    got = {r.doc_id: r for r in quality.quality_rules(docs(spark, [(*r, "en", "s") for r in rows], DOCS + ", lang string, source string")).collect()}
+    for i, name in enumerate(odd):
+        assert not got[1000 + i].base_failed
+        assert not got[1000 + i].kept, name
+    assert all(got[i].kept for i in range(300)) and got[2000].kept
+
+
 # ---- words -------------------------------------------------------------------
 
 def test_word_hashes_cut_like_the_expression(monkeypatch):
