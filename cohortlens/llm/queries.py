@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, jaccard, language, oracle, packing, privacy, quality, secrets, suffixes, urls
+from ..session import written
+from . import (chat, decontaminate, jaccard, language, mixing, oracle, packing, privacy, quality, runs, secrets, suffixes,
+               urls, vafile)
+from .exprs import let, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = dict(oracle.ORACLE)
@@ -100,3 +103,50 @@ def op2_chat_turns(spark, sf_dir):
     rows = chat.as_transcripts(table(spark, sf_dir, "conversations"))
     model = chat.fit(rows.where(~language.held_out(F.col("conv_id"))))
     return chat.parse(rows.select("conv_id", "turn", "text"), model)
+
+
+@query
+def op11_centroids(spark, sf_dir):
+    """Cluster of every vector after five rounds from 40 hashed starts, in whole numbers."""
+    return vafile.centroid_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth, by a hash of the id, end in a repeated stretch of their own words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+
+    def repeated(w):
+        n = F.size(w).cast("bigint")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("bigint")
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(w, lambda _, i: F.get(w, place(i.cast("bigint")).cast("int"))), " ")
+
+    tail = let(words(F.col("text")), lambda w: F.when(F.size(w) > 0, repeated(w)))
+    return docs.withColumn("text", F.when(h % 10 == 0, tail).otherwise(F.col("text")))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    """Runs of words of four or more periods in every document, and the words that they leave."""
+    docs = with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs)
+    r = F.col("runs")
+    # Exact order of length / period: cross products stay far below 2**63.
+    best = F.aggregate(r, F.lit(None).cast(r_type := "struct<start:bigint,length:bigint,period:bigint>"), lambda s, x: F.when(
+        s.isNull() | (x["length"] * s["period"] > s["length"] * x["period"]), x).otherwise(s).cast(r_type))
+    lines = F.transform(r, lambda x: F.concat_ws(",", *[x[c].cast("string") for c in ("start", "length", "period")]))
+    told = F.concat(F.array_join(lines, "\n"), F.when(F.size(r) > 0, "\n").otherwise(""))
+    return found.select("doc_id", F.size(r).cast("bigint").alias("n_runs"), best.alias("b"),
+                        F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "b.start", "b.length", "b.period",
+        F.expr("(1000 * b.length) div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op13_source_mix(spark, sf_dir):
+    """Words taken of every document in a mix of all sources, weighted 5, 2, 1 in turn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("n_words"))
+    return mixing.mix(written(docs, "sizes"), size="n_words").select("doc_id", "size", "source_size", "target", "taken")
