@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, types as T
 from .exprs import clear_of
 from .text import _SEP, slices, utf8
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 RUN = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "period")])
 
 
@@ -68,32 +68,34 @@ def lyndon_chains(numbers: np.ndarray, at: np.ndarray, least: int, lengths: np.n
     if not n:
         return tuple(np.zeros(0, np.int64) for _ in found)
     # Positions of the second order lie n behind those of the first.
-    pred, succ = np.arange(-1, none, dtype=np.int64), np.arange(1, none + 2, dtype=np.int64)
+    place = np.int32 if 8 * n < 1 << 31 else np.int64
+    pred, succ = np.arange(-1, none, dtype=place), np.arange(1, none + 2, dtype=place)
     filled = np.flatnonzero(np.diff(at))
     for shift in (0, n):
         pred[at[filled] + shift] = none
         succ[at[filled + 1] - 1 + shift] = none
-    lam = np.ones(none + 1, np.int64) if lengths is None else lengths
+    lam = np.empty(none + 1, place) if lengths is None else lengths
     lam[:] = 1
 
     # Groups by word: classes of the first order, and again for the second with the links reversed.
     text_of = np.repeat(np.arange(texts), np.diff(at))
     key = text_of * (int(numbers.max()) + 1) + numbers
     order = np.argsort(key, kind="stable")
-    opens = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    key = key[order]
+    opens = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    del key
     classes = len(opens)
     room = 2 * classes + none + 1
     nil = room - 1
-    log = np.empty(2 * none, np.int64)
+    log = np.empty(2 * none, place)
     log[:n], log[n:none] = order, order + n
-    start, end = np.empty(room, np.int64), np.empty(room, np.int64)
-    size = np.zeros(room, np.int64)
-    lower, higher = np.full(room, nil, np.int64), np.full(room, nil, np.int64)
+    start, end, size = np.empty(room, place), np.empty(room, place), np.zeros(room, place)
+    lower, higher = np.full(room, nil, place), np.full(room, nil, place)
     closes = np.append(opens[1:], n)
     start[:classes], end[:classes] = opens, closes
     start[classes:2 * classes], end[classes:2 * classes] = opens + n, closes + n
     size[:2 * classes] = np.tile(closes - opens, 2)
-    group = np.empty(none + 1, np.int64)
+    group = np.empty(none + 1, place)
     group[log[:none]] = np.repeat(np.arange(2 * classes), size[:2 * classes])
     owner = text_of[order[opens]]
     same = np.flatnonzero(owner[1:] == owner[:-1])
@@ -140,7 +142,7 @@ def lyndon_chains(numbers: np.ndarray, at: np.ndarray, least: int, lengths: np.n
         if len(p):
             lam[p] += count * root
             old = group[p]
-            rank = old * (int(count.max()) + 1) + count
+            rank = old.astype(np.int64) * (int(count.max()) + 1) + count
             by = np.argsort(rank, kind="stable")
             p, old, rank = p[by], old[by], rank[by]
             fresh = np.empty(len(p), bool)
@@ -179,7 +181,7 @@ def lyndon_chains(numbers: np.ndarray, at: np.ndarray, least: int, lengths: np.n
             logged += len(p)
         current = lower[current]
         current = current[current != nil]
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+    return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in found)
 
 
 def common_extension(numbers: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray, step: int) -> np.ndarray:
@@ -242,8 +244,8 @@ def periodic_runs(df: DataFrame, text: str = "text", min_length: int = 6, min_ex
     its first period, joined by a space.  A word is a run of characters that are
     neither space nor 0x09-0x0D.  A null text has no words, no runs and the empty
     text as ``collapsed``.  Columns of those two names are replaced, other columns
-    stay, each row is worked on by itself.  Texts are grouped about 12 MB at a
-    time; a longer text is alone, takes about 300 bytes a word, and rounds in its
+    stay, each row is worked on by itself.  Texts are grouped about 6 MB at a
+    time; a longer text is alone, takes about 200 bytes a word, and rounds in its
     number of different Lyndon words.
     """
     if min_exponent < 2:
