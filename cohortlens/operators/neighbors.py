@@ -3,12 +3,10 @@
 Distance: Euclidean over the features present in both rows, scaled up by
 sqrt(features / shared features); rows that share none are not comparable.
 
-The train side is cut into cells (a few quantile bins of a few features) and
-cells into blocks of bounded size.  A query goes only to cells that can hold one
-of its k nearest: each cell's bounding box gives a lower and an upper bound of
-the distance, and k rows within the upper bounds rule out every cell whose lower
-bound is larger.  Packs of queries meet blocks in an equi join on the cell, and
-each meeting is one matrix computation that emits at most k rows per query.
+The train side is a tree of cells (``celltree``).  Each query meets its home cell
+first; the k-th distance there rules out every cell whose bound is larger.  Packs
+of queries meet the cells that are left in an equi join, and each meeting is one
+matrix computation that emits at most k rows per query.
 """
 
 from __future__ import annotations
@@ -21,96 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import col, join_on_keys, join_summary, nan_to_null
-from ..session import allow_wide
-from .ordering import first_rows, hash32
+from . import celltree
+from .ordering import first_rows
 
-MIN_BLOCK_ROWS, MAX_BLOCK_ROWS = 256, 4096
 TILE_ROWS = 1024
-MAX_CELLS = 8192
-MAX_BINNED = 8
 MAX_ANCHORS = 1000
 
 
-def _cells(train: DataFrame, features: Sequence[str], row_id: str, block_rows: int | None):
-    """Cell number of a train row; how many cells there can be per group; about
-    how many rows and groups there are; and the rows of a block.
-
-    Small aggregates size the grid: first rows and groups, and only if there
-    are enough for a grid the features with the widest spread and their
-    quantiles.  Cells of all groups together stay below MAX_CELLS.
-    """
-    sizes = train.agg(F.count("*").alias("n"), F.approx_count_distinct("_group").alias("groups")).first()
-    n, groups = sizes["n"], max(sizes["groups"], 1)
-    # Larger blocks move less data; a small table still makes several.
-    block_rows = block_rows or min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, n // 8))
-    wanted = min(MAX_CELLS // (2 * groups), n // (4 * block_rows))
-    dims = 0
-    while dims < min(MAX_BINNED, len(features)) and 3 ** (dims + 1) <= wanted:
-        dims += 1
-    if not dims:
-        # One cell, number 0; a plain constant would fold the join on it away.
-        return F.pmod(F.hash(row_id), F.lit(1)), 1, n, groups, block_rows
-    bins = 2
-    while (bins + 2) ** dims <= wanted:
-        bins += 1
-    spread = train.agg(F.array(*[F.coalesce(F.var_samp(col(c)), F.lit(0.0)) for c in features])).first()[0]
-    chosen = [features[i] for i in np.argsort(-np.asarray(spread), kind="stable")[:dims]]
-    probs = [i / bins for i in range(1, bins)]
-    cuts = train.agg(*[F.percentile_approx(col(c), probs, 1000).alias(c) for c in chosen]).first()
-    cell = F.lit(0)
-    for c in chosen:
-        above = reduce(lambda a, b: a + b, [(col(c) >= F.lit(float(x))).cast("int") for x in cuts[c] or []], F.lit(1))
-        cell = cell * (bins + 1) + F.when(col(c).isNull(), 0).otherwise(above)
-    return cell, (bins + 1) ** dims, n, groups, block_rows
-
-
 def _matrix(pdf: pd.DataFrame, features: Sequence[str]) -> np.ndarray:
     return np.ascontiguousarray(pdf[list(features)].to_numpy(dtype=float, na_value=np.nan))
 
 
-def _bounds(q: np.ndarray, box: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Squared lower and upper distance bounds, queries x cells."""
-    d, cells = q.shape[1], len(box["n"])
-    near, far = np.zeros((len(q), cells)), np.zeros((len(q), cells))
-    most, least = np.zeros((len(q), cells)), np.zeros((len(q), cells))
-    for j in range(d):
-        here = np.isfinite(q[:, j])[:, None]
-        x = np.where(here[:, 0], q[:, j], 0.0)[:, None]
-        some, always = here & (box["count"][:, j] > 0), here & (box["count"][:, j] == box["n"])
-        lo, hi = box["lo"][:, j], box["hi"][:, j]
-        near += np.where(always, np.maximum(np.maximum(lo - x, x - hi), 0.0) ** 2, 0.0)
-        far += np.where(some, np.maximum(np.abs(x - lo), np.abs(x - hi)) ** 2, 0.0)
-        most += some
-        least += always
-    with np.errstate(divide="ignore", invalid="ignore"):
-        lower = np.where(most > 0, near * d / most, np.inf)
-        upper = np.where(least > 0, far * d / least, np.inf)
-    return lower, upper
-
-
-def _reach(upper: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
-    """Per query the smallest upper bound within which k rows are certain."""
-    order = np.argsort(upper, axis=1)
-    enough = np.cumsum(counts[order], axis=1) >= k
-    at = np.take_along_axis(upper, order, axis=1)[np.arange(len(upper)), enough.argmax(axis=1)]
-    return np.where(enough.any(axis=1), at, np.inf)
-
-
-def _reachable(q: np.ndarray, box: dict, k: int, fill: bool) -> np.ndarray:
-    """Which cells may hold one of a query's k nearest rows (queries x cells);
-    to fill gaps, one of the k nearest that have the missing feature."""
-    lower, upper = _bounds(q, box)
-    if not fill:
-        reach = _reach(upper, box["n"], k)
-    else:
-        reach = np.zeros(len(q))
-        for j in range(q.shape[1]):
-            gap = ~np.isfinite(q[:, j])
-            if gap.any():
-                reach[gap] = np.maximum(reach[gap], _reach(upper[gap], box["count"][:, j], k))
-    return (lower <= reach[:, None] * (1 + 1e-9) + 1e-9) & np.isfinite(lower)
-
-
 def _rough(q, donors):
     """Mean squared difference over shared features from one matrix product;
     infinite for rows that share none."""
@@ -177,90 +96,80 @@ def _meet_tile(q, ids, donors, donor_ids, features, k, fill) -> pd.DataFrame:
     return pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, zip(*out))} if out else {n: [] for n in names})
 
 
+def _home_reach(q: np.ndarray, donors: np.ndarray, k: int, fill: bool) -> np.ndarray:
+    """Squared distance within which a query has k rows of this block, or to fill
+    gaps k that have each missing feature; infinite if it has fewer."""
+    # Around the block's middle, so that data far from zero loses no digits.
+    there = np.isfinite(donors)
+    middle = np.where(there, donors, 0.0).sum(axis=0) / np.maximum(there.sum(axis=0), 1)
+    q, donors = q - middle, donors - middle
+    rough = _rough(q, donors)
+    slack = 1e-12 * (1.0 + np.nansum(q * q, axis=1) + np.nansum(donors * donors, axis=1).max(initial=0.0))
+
+    def edge(part):
+        return np.partition(part, k - 1, axis=1)[:, k - 1] if part.shape[1] >= k else np.full(len(part), np.inf)
+
+    if not fill:
+        out = edge(rough)
+    else:
+        out = np.zeros(len(q))
+        for j in range(q.shape[1]):
+            gap, able = ~np.isfinite(q[:, j]), there[:, j]
+            if gap.any():
+                out[gap] = np.maximum(out[gap], edge(rough[np.ix_(gap, able)]))
+    return (np.maximum(out, 0.0) + slack) * q.shape[1]
+
+
+class _Search:
+    """Packs of queries at the cells they have to visit."""
+
+    def __init__(self, train: DataFrame, query: DataFrame, features: Sequence[str], k: int, row_id: str,
+                 by: Sequence[str], fill: bool, block_rows: int | None):
+        features, by = list(features), list(by)
+        # One text key per group, so that all inner joins are on plain values.
+        group = (F.to_json(F.struct(*by)) if by else F.lit("")).alias("_group")
+        values = [col(c) for c in features]
+        self.by, self.id_type, self.d = [query.schema[c] for c in by], train.schema[row_id].dataType, len(features)
+        points = celltree.as_points(train.select(group, row_id, *values), ["_group", row_id], features)
+        self.tree = celltree.build(points, row_id, self.d, block_rows)
+        queries = celltree.as_points(query.select(*by, group, row_id, *values), [*by, "_group", row_id], features, fill)
+        schema = celltree.pack_schema(self.by, self.id_type)
+        if self.tree.flat:
+            packed = celltree.packs(queries.withColumn("_node", F.col("_group")), by, row_id, schema, False)
+        else:
+            homes = celltree.home_cells(self.tree, queries, fill)
+            first = self.tree.blocks.where(F.col("_cell").endswith("#0")).select(
+                F.expr("substring(_cell, 1, length(_cell) - 2)").alias("_node"), "_donors")
+            packed = celltree.packs(homes, by, row_id, schema, False).join(first, "_node", "left").mapInPandas(
+                self._first_meeting(k, fill, schema.names), schema)
+        self.packs = celltree.down(self.tree, packed, k, fill)
+
+    def _first_meeting(self, k, fill, names):
+        d = self.d
+
+        def meet(batches):
+            for pdf in batches:
+                far = list(pdf["_far"])
+                for i, (m, donors) in enumerate(zip(pdf["_m"], pdf["_donors"])):
+                    if donors is not None:
+                        far[i] = _home_reach(np.frombuffer(m).reshape(-1, d), np.frombuffer(donors).reshape(-1, d), k, fill).tobytes()
+                yield pdf.assign(_far=far)[names]
+
+        return meet
+
+
 def _nearest(train: DataFrame, query: DataFrame, features: Sequence[str], k: int, row_id: str,
              by: Sequence[str], fill: bool, block_rows: int | None) -> DataFrame:
     spark, features, by = train.sparkSession, list(features), list(by)
-    allow_wide(train, features)
-    values = [nan_to_null(c).alias(c) for c in features]
-    # One text key per group, so that all inner joins are on plain values.
-    group = F.to_json(F.struct(*by)) if by else F.lit("")
-    train = train.select(group.alias("_group"), row_id, *values)
-    query = query.select(*by, group.alias("_group"), row_id, *values)
-    id_type, by_fields = train.schema[row_id].dataType, [query.schema[c] for c in by]
-    cell, n_cells, n_rows, n_groups, block_rows = _cells(train, features, row_id, block_rows)
-    placed = train.withColumn("_cell", cell)
-    slot = ["_group", "_cell"]
-
-    summary = placed.groupBy(*slot).agg(F.count("*").alias("_n"), *([] if n_cells == 1 else [
-        F.array(*[F.min(col(c)) for c in features]).alias("_lo"),
-        F.array(*[F.max(col(c)) for c in features]).alias("_hi"),
-        F.array(*[F.count(col(c)) for c in features]).alias("_count")]))
-    # With a grid the summary is at most MAX_CELLS rows by construction, and
-    # goes to the tasks; without one no bounds are needed.
-    boxes = None
-    if n_cells > 1:
-        cells: dict[str, list] = {}
-        for r in summary.collect():
-            cells.setdefault(r["_group"], []).append(r)
-        number = lambda rows, name: np.array([[np.nan if v is None else v for v in r[name]] for r in rows], float)
-        boxes = spark.sparkContext.broadcast({
-            key: {"cell": [r["_cell"] for r in rows], "n": np.array([r["_n"] for r in rows]),
-                  "lo": np.nan_to_num(number(rows, "_lo")), "hi": np.nan_to_num(number(rows, "_hi")),
-                  "count": number(rows, "_count")} for key, rows in cells.items()})
-    sizes = summary.select(*slot, F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks"))
-    if n_groups * n_cells <= MAX_CELLS:
-        sizes = F.broadcast(sizes)
-
-    packed = T.StructType([*by_fields, T.StructField("_group", T.StringType()), T.StructField("_cell", T.IntegerType()),
-                           T.StructField("_ids", T.ArrayType(id_type)), T.StructField("_m", T.BinaryType())])
-
-    def packs(batches):
-        for pdf in batches:
-            out = []
-            for key, part in pdf.groupby("_group", sort=False):
-                q = _matrix(part, features)
-                if fill:
-                    gaps = ~np.isfinite(q).all(axis=1)
-                    part, q = part[gaps], q[gaps]
-                for s in range(0, len(part), block_rows):
-                    head = tuple(part[c].iloc[s] for c in by)
-                    ids, m = part[row_id].to_numpy()[s:s + block_rows], q[s:s + block_rows]
-                    if boxes is None:
-                        out.append((*head, key, 0, ids, m.tobytes()))
-                    elif key in boxes.value:
-                        box = boxes.value[key]
-                        near = _reachable(m, box, k, fill)
-                        for j in np.flatnonzero(near.any(axis=0)):
-                            out.append((*head, key, box["cell"][j], ids[near[:, j]], m[near[:, j]].tobytes()))
-            if out:
-                yield pd.DataFrame(out, columns=packed.names)
-
-    # Queries of one group and cell lie together, so packs are full and visit few cells.
-    near_cells = query.withColumn("_cell", cell).sortWithinPartitions(*slot).drop("_cell").mapInPandas(packs, packed)
-
+    search = _Search(train, query, features, k, row_id, by, fill, block_rows)
     # A few train rows and many queries: copies of the blocks keep every task busy.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    copies = max(1, -(-tasks // max(1, n_rows // block_rows)))
-    meeting = [*slot, "_part", "_copy"]
-    query_packs = near_cells.join(sizes, slot).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_part"),
-        F.pmod(F.hash(F.col("_ids")[0]), F.lit(copies)).alias("_copy")).repartition(tasks, *meeting)
-
-    def block(pdf):
-        pdf = pdf.sort_values(row_id)
-        first = pdf.iloc[0]
-        row = [first[c] for c in (*slot, "_part")] + [pdf[row_id].to_numpy(), _matrix(pdf, features).tobytes()]
-        return pd.DataFrame([row], columns=block_schema.names)
-
-    block_schema = T.StructType([T.StructField("_group", T.StringType()), T.StructField("_cell", T.IntegerType()),
-                                 T.StructField("_part", T.IntegerType()),
-                                 T.StructField("_donor_ids", T.ArrayType(id_type)),
-                                 T.StructField("_donors", T.BinaryType())])
-    part_of = F.pmod(hash32(row_id, seed=7), F.col("_blocks")).cast("int").alias("_part")
-    blocks = placed.join(sizes, slot).select(*slot, part_of, row_id, *features).groupBy(*slot, "_part").applyInPandas(
-        block, block_schema).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-
-    found = T.StructType([*by_fields, T.StructField("query_id", id_type), T.StructField("neighbor_id", id_type),
+    copies = max(1, -(-tasks // max(1, search.tree.n_blocks)))
+    meeting = ["_node", "_copy"]
+    packed = search.packs.withColumn("_copy", F.pmod(F.hash(F.col("_ids")[0]), F.lit(copies))).repartition(tasks, *meeting)
+    blocks = search.tree.blocks.select(F.col("_cell").alias("_node"), "_donor_ids", "_donors",
+                                       F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_copy"))
+    found = T.StructType([*search.by, T.StructField("query_id", search.id_type), T.StructField("neighbor_id", search.id_type),
                           T.StructField("dist", T.DoubleType()),
                           *([T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType())]
                             if fill else [])])
@@ -279,7 +188,17 @@ def _nearest(train: DataFrame, query: DataFrame, features: Sequence[str], k: int
                             out[name] = v
                         yield out[found.names]
 
-    return query_packs.join(blocks, meeting).select(*by, "_ids", "_m", "_donor_ids", "_donors").mapInPandas(meet, found)
+    return packed.join(blocks, meeting).select(*by, "_ids", "_m", "_donor_ids", "_donors").mapInPandas(meet, found)
+
+
+def visited_rows(train: DataFrame, query: DataFrame, features: Sequence[str], k: int, row_id: str = "subjectkey",
+                 by: Sequence[str] = (), fill: bool = False, block_rows: int | None = None) -> DataFrame:
+    """How many train rows a search compares with each query: ``(*by, query_id,
+    visited)``.  With ``fill`` the search for donors, of rows that have gaps."""
+    search = _Search(train, query, features, k, row_id, by, fill, block_rows)
+    sizes = search.tree.blocks.select(F.col("_cell").alias("_node"), "n")
+    each = search.packs.join(sizes, "_node").select(*by, F.explode("_ids").alias("query_id"), "n")
+    return each.groupBy(*by, "query_id").agg(F.sum("n").alias("visited"))
 
 
 def nearest_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k: int, row_id: str = "subjectkey",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import columns as X
-from cohortlens.operators import missing, neighbors
+from cohortlens.operators import celltree, missing, neighbors
 from cohortlens.plans import imputation_check
 
 
@@ -66,6 +66,45 @@ def test_fewer_rows_than_neighbors(spark):
     assert got == {"s00000": ["s00000", "s00001"], "s00001": ["s00001", "s00000"]}
 
 
+def test_small_and_large_tables_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(900, 3)) + 1e6                  # far from zero
+    data[rng.random(data.shape) < 0.1] = np.nan
+    df, names, frame = table(spark, data)
+    assert neighbors._Search(df, df, names, 4, "subjectkey", [], False, None).tree.flat
+    few = neighbours_of(neighbors.nearest_neighbors(df, df, names, 4))
+    monkeypatch.setattr(celltree, "TINY_ROWS", 100)
+    search = neighbors._Search(df, df, names, 4, "subjectkey", [], False, None)
+    assert not search.tree.flat and search.tree.cuts
+    assert neighbours_of(neighbors.nearest_neighbors(df, df, names, 4)) == few
+
+
+def test_visited_rows_stay_flat_as_a_table_grows(spark):
+    seen = []
+    for n in (2_000, 20_000):
+        df, names, _ = table(spark, np.random.default_rng(n).normal(size=(n, 2)))
+        few = df.where("subjectkey < 's00500'")
+        seen.append(neighbors.visited_rows(df, few, names, 5, block_rows=128).agg(F.avg("visited")).first()[0])
+    assert seen[1] < 1.3 * seen[0] < 800
+
+
+def test_bounds_hold_for_rows_with_gaps():
+    rng = np.random.default_rng(3)
+    q, rows = rng.normal(size=(40, 5)), rng.normal(size=(60, 5)) + 2
+    q[rng.random(q.shape) < 0.2] = np.nan
+    rows[:, 1] = np.nan
+    limits = celltree._limits(rows)
+    box = {c: np.frombuffer(limits[c]).reshape(1, -1) for c in ("lo", "hi", "count", "center")}
+    box |= {"n": np.array([60.0]), "radius": np.array([limits["radius"]])}
+    assert np.isfinite(limits["radius"])
+    exact = neighbors._rough(q, rows) * 5
+    lower, upper = celltree.box_bounds(q, box)
+    ok = np.isfinite(exact)
+    for bound in (lower[:, 0], celltree.ball_bound(q, box)[:, 0]):
+        assert (np.where(ok, exact, np.inf).min(axis=1) >= bound - 1e-9).all()
+    assert (np.where(ok, exact, -np.inf).max(axis=1) <= upper[:, 0] + 1e-9).all()
+
+
 @pytest.mark.parametrize("block", [16, 1024])
 def test_imputation_matches_brute_force(spark, block):
     rng = np.random.default_rng(7)
