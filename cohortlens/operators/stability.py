@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col, join_on_keys, proportion_half_width
 from ..session import written
-from . import neighbors as N
+from . import neighbors as N, packed
 from .cohort import SUBJECT
 from .ordering import hash32, with_rank
 
@@ -305,21 +305,21 @@ class Runs:
                 *by, F.lit(split).alias("split"), F.col("loss").alias("error")))
         return losses[0].unionByName(losses[1])
 
+    def all_errors(self, iterations: int, seed: int = 0) -> DataFrame:
+        """``errors`` beside their mean over shuffles of the train labels:
+        ``(run, k, split, error, random_error)``, all in one pass."""
+        return packed.labelling_errors(self.labels, self.near, iterations, self.row_id, _agreeing, seed)
+
     def random_errors(self, iterations: int, seed: int = 0) -> DataFrame:
-        """The same with the train labels shuffled, averaged over iterations.
-
-        Neighbours do not depend on labels, so one neighbour table serves all
-        iterations.  Test clusterings stay unshuffled.
-        """
-        by = ["run", "k", "iter"]
-        shuffled = written(permuted_labels(self._of("train"), iterations, ["run", "k"], row_id=self.row_id, seed=seed),
-                           "shuffled")
-        losses = []
-        for split, loss, truth in (("train", plain_loss, shuffled), ("test", aligned_loss, self._of("test"))):
-            predicted = N.vote(self._near(split), shuffled, by, self.row_id)
-            losses.append(loss(_pair_counts(predicted, truth, by, self.row_id), by).groupBy("run", "k").agg(
-                F.avg("loss").alias("random_error")).withColumn("split", F.lit(split)))
-        return losses[0].unionByName(losses[1])
+        """The errors with the train labels shuffled, averaged over iterations:
+        ``(run, k, split, random_error)``.  Test clusterings stay unshuffled."""
+        return self.all_errors(iterations, seed).drop("error")
+
+
+def _agreeing(table: np.ndarray) -> int:
+    """Rows that agree after the best renaming, from counts of (truth, vote)."""
+    votes = table.T.astype(float)
+    return int(votes[np.arange(len(votes)), _assign(votes)].sum())
 
 
 ClusterFn = Callable[[DataFrame, Sequence[str]], WardTree]
@@ -399,8 +399,11 @@ def choose_k(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2
              strata: Sequence[str] = (), cluster: ClusterFn = ward) -> Choice:
     """Cross-validated stability of each k, normalized by shuffled labels."""
     runs = cluster_runs(fold_runs(df, folds, order or row_id, strata), features, ks, k_neighbors, row_id, cluster)
-    random = runs.random_errors(rand_iter) if rand_iter else None
-    per_fold, scores = score_folds(runs.errors(), random)
+    if rand_iter:
+        both = written(runs.all_errors(rand_iter), "errors")
+        per_fold, scores = score_folds(both.drop("random_error"), both.drop("error"))
+    else:
+        per_fold, scores = score_folds(runs.errors(), None)
     return Choice(per_fold, scores)
 
 

@@ -1,5 +1,6 @@
 """Alignment, clustering, choice of k, statistics and sources."""
 
+import random
 from itertools import permutations
 
 import numpy as np
@@ -8,7 +9,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from cohortlens.operators import compare, stability
+from cohortlens.operators import compare, packed, stability
+from cohortlens.operators.ordering import hash32
 from cohortlens.plans import stratify
 from cohortlens.session import shared_folder
 from cohortlens.sources import readers, writers
@@ -98,6 +100,61 @@ def test_permuted_labels_keep_counts(spark):
     assert len(set(first.values())) == 3
 
 
+def test_keyed_permutations_are_one_to_one():
+    for n in (1, 2, 3, 7, 64, 1000):
+        seen = [tuple(packed.permuted(np.arange(n), n, key)) for key in range(30)]
+        assert all(sorted(p) == list(range(n)) for p in seen)
+        assert n < 64 or len(set(seen)) == 30
+    # Over many keys every place is about equally likely.
+    places = np.bincount([packed.permuted(np.array([3]), 10, key)[0] for key in range(5000)], minlength=10)
+    assert places.min() > 400 and places.max() < 600
+
+
+def brute_errors(labels, near, codes, iterations, seed, runs, ks):
+    """Votes and losses one labelling at a time; alignment by trying every renaming."""
+    out = {}
+    for run in runs:
+        train = sorted((r["_h"], r["id"]) for r in labels if r["run"] == run and r["split"] == "train" and r["k"] == ks[0])
+        rank = {i: p for p, (_, i) in enumerate(train)}
+        for j, k in enumerate(ks):
+            own = {(r["split"], r["id"]): r["label"] for r in labels if r["run"] == run and r["k"] == k}
+            deck = sorted(v for (s, _), v in own.items() if s == "train")
+            for it in range(iterations + 1):
+                to = packed.permuted(np.arange(len(train)), len(train), (seed * 1_000_003 + run) * 1_000_003 + it - 1)
+                given = {i: own["train", i] if it == 0 else deck[to[p]] for i, p in rank.items()}
+                for split in ("train", "test"):
+                    pairs = []
+                    for q in {x["query_id"] for x in near if x["run"] == run and x["split"] == split}:
+                        votes = [given[x["neighbor_id"]] for x in near if x["run"] == run and x["split"] == split and x["query_id"] == q]
+                        best = min(set(votes), key=lambda v: (-votes.count(v), v))
+                        pairs.append((given[q] if split == "train" else own["test", q], best))
+                    names = sorted({v for _, v in pairs} | {t for t, _ in pairs})
+                    renamings = [dict(zip(names, p)) for p in permutations(names)] if split == "test" else [{v: v for v in names}]
+                    loss = min(sum(t != m[v] for t, v in pairs) for m in renamings) / len(pairs)
+                    out.setdefault((run, k, split), []).append(loss)
+    return {key: (v[0], float(np.mean(v[1:]))) for key, v in out.items()}
+
+
+def test_packed_errors_agree_with_one_labelling_at_a_time(spark):
+    rng = random.Random(3)
+    labels, near = [], []
+    for run in (0, 1):
+        for i in range(40):
+            split = "train" if i < 25 else "test"
+            labels += [(run, k, split, i, rng.randrange(k)) for k in (2, 4)]
+            near += [(run, split, i, m) for m in rng.sample(range(25), 5 if i % 7 else 3)]
+    ldf = spark.createDataFrame(labels, "run int, k int, split string, subjectkey int, label int")
+    ndf = spark.createDataFrame(near, "run int, split string, query_id int, neighbor_id int")
+    got = stability.Runs(ldf, ndf).all_errors(6, seed=2).collect()
+    told = [{**r.asDict(), "id": r["subjectkey"]} for r in ldf.withColumn("_h", hash32("subjectkey", "run", seed=5)).collect()]
+    want = brute_errors(told, [r.asDict() for r in ndf.collect()], None, 6, 2, (0, 1), (2, 4))
+    assert len(got) == len(want) == 8
+    for r in got:
+        assert np.allclose((r["error"], r["random_error"]), want[r["run"], r["k"], r["split"]])
+    plain = {(r["run"], r["k"], r["split"]): r["error"] for r in stability.Runs(ldf, ndf).errors().collect()}
+    assert all(abs(plain[key] - v[0]) < 1e-12 for key, v in want.items())
+
+
 def test_folds_have_equal_sizes(spark):
     got = stability.with_folds(spark.range(103).withColumnRenamed("id", "subjectkey"), 10).toPandas().sort_values("subjectkey")
     assert list(got["fold"]) == sorted(got["fold"]) and list(got.groupby("fold").size()) == [11] * 3 + [10] * 7

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from cohortlens.functions import columns as X
@@ -235,7 +237,7 @@ def d11_strata(spark, sf):
 
 # ---- clustering and stability ------------------------------------------------
 
-KS, FOLDS, SHUFFLES = [2, 3, 4], 3, 3
+KS, FOLDS, SHUFFLES = list(range(2, 11)), 10, 100
 AXES = ["e0", "e1"]
 
 
@@ -249,10 +251,6 @@ def _embedded_whole(spark, sf):
     return stability.embed(full_rows(spark, sf).select(ID, *FEATURES), [], FEATURES)[0]
 
 
-def _small_ward(df, features):
-    return stability.ward(df, features, micro=40)
-
-
 @query("v1_ward_clusters")
 def v1(spark, sf):
     """Sizes of the clusters for several k from one merge tree (V1, G9)."""
@@ -260,7 +258,7 @@ def v1(spark, sf):
     labelled = stability.ward(rows, AXES).label(rows, KS)
     each = [compare.cluster_sizes(labelled.select(F.lit(k).alias("k"), F.col(f"cluster_{k}").alias("cluster")), "cluster")
             .withColumn("k", F.lit(k)) for k in KS]
-    return each[0].unionByName(each[1]).unionByName(each[2])
+    return reduce(lambda a, b: a.unionByName(b), each)
 
 
 @query("v15_merge_tree")
@@ -332,13 +330,13 @@ def v4_v5(spark, sf):
 def v8(spark, sf):
     """Mean errors with shuffled train labels."""
     train, test = _embedded(spark, sf)
-    runs = stability.cluster_runs([(0, train, test)], AXES, KS, 10, ID, _small_ward)
+    runs = stability.cluster_runs([(0, train, test)], AXES, KS, 10, ID)
     return runs.random_errors(SHUFFLES)
 
 
 def _choice(spark, sf):
     train, _ = _embedded(spark, sf)
-    return stability.choose_k(train, AXES, KS, FOLDS, SHUFFLES, 10, ID, ID, cluster=_small_ward)
+    return stability.choose_k(train, AXES, KS, FOLDS, SHUFFLES, 10, ID, ID)
 
 
 @query("v9_choose_k")
@@ -385,7 +383,7 @@ def o4(spark, sf):
 def v11(spark, sf):
     """Errors on train and held-out test for a chosen k."""
     train, test = _embedded(spark, sf)
-    return stability.evaluate(train, test, AXES, 3, 10, ID, _small_ward)[0]
+    return stability.evaluate(train, test, AXES, 3, 10, ID)[0]
 
 
 @query("v13_run_validation")
@@ -394,7 +392,7 @@ def v13(spark, sf):
     rows = gaps(spark, sf)
     raw = rows.filter(F.col("split") == "test")
     parts = neighbors.impute(_train(rows), raw, FEATURES, 5, ID)
-    config = stratify.StratifyConfig(ks=KS, folds=FOLDS, rand_iter=SHUFFLES, cluster=_small_ward)
+    config = stratify.StratifyConfig(ks=KS, folds=FOLDS, rand_iter=SHUFFLES)
     result = stratify.run_validation(*parts, raw, FEATURES, config, ID)
     return result.missing_by_cluster.withColumn("k", F.lit(result.k))
 
