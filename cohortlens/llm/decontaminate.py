@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import written
 from .exprs import clear_of
 from .text import slices
 
@@ -139,12 +140,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, text:
     nothing, a null or empty text has no matches, repeated rows are all kept, and
     a column named ``matches`` is replaced.  The items come to the driver, which
     sends them to the tasks in blocks of at most ``block_bytes`` of text (an item
-    longer than that alone): each block is one more scan of the texts, so neither
-    memory nor messages grow with the benchmark.
+    longer than that alone).  Each further block is one more scan of the texts, whose
+    result so far is written before it: a plan, and what its tasks receive, holds
+    one block, however long the benchmark.
     """
     docs = clear_of(docs, ["matches"]).withColumn("matches", F.array().cast(MATCH))
-    for block in blocks(benchmark, block_bytes):
-        docs = _search(docs, block, rate, text)
+    for n, block in enumerate(blocks(benchmark, block_bytes)):
+        docs = _search(written(docs, "matched") if n else docs, block, rate, text)
     return docs
 
 

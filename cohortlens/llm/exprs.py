@@ -61,3 +61,12 @@ def clear_of(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` without columns whose names an operator is about to add."""
     gone = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
+def set_apart(df: DataFrame) -> tuple[DataFrame, Callable[[str], str], dict[str, Column]]:
+    """``df`` with its columns under names that an operator's own columns cannot
+    meet, the inner name of an old one, and the columns that restore the old
+    names, in order."""
+    inner = [f"in_{i}" for i in range(len(df.columns))]
+    at = {c.lower(): n for c, n in zip(df.columns, inner)}
+    return df.toDF(*inner), lambda c: at[c.lower()], {c: F.col(n).alias(c) for c, n in zip(df.columns, inner)}

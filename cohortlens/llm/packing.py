@@ -16,11 +16,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from cohortlens.session import written
 
-from .exprs import WORD, clear_of
+from .exprs import WORD, clear_of, set_apart
 from .text import _SEP, slices, utf8
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -108,6 +108,22 @@ def _cut(docs: DataFrame, text: str, longest: int, with_text: bool) -> DataFrame
     return docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`")).mapInArrow(cut, schema)
 
 
+def _number_repeats(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``_repeat``, which counts the rows of one ``_key`` from 0.
+
+    Rows of one key are alike, so any order will do: that of the tasks they are
+    in, each of which counts its own, so that a key of very many rows meets in no task.
+    """
+    pieces = pieces.withColumn("_task", F.shiftright("_row", 33))
+    own = Window.partitionBy("_key", "_task").orderBy("_row")
+    earlier = Window.partitionBy("_key").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = pieces.groupBy("_key", "_task").agg(F.count("*").alias("_held")).select(
+        "_key", "_task", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"))
+    numbered = pieces.withColumn("_own", F.row_number().over(own) - 1)
+    return numbered.join(before, ["_key", "_task"]).withColumn("_repeat", F.col("_own") + F.col("_before")).drop(
+        "_task", "_own", "_before")
+
+
 def pack(docs: DataFrame, text: str = "text", lengths: Sequence[int] = LENGTHS, group: int = GROUP,
          with_text: bool = True) -> DataFrame:
     """A row per piece of each text: the other columns of ``docs``, the piece's
@@ -117,24 +133,28 @@ def pack(docs: DataFrame, text: str = "text", lengths: Sequence[int] = LENGTHS,
     Tokens are words; a text longer than the largest length is cut, and its
     pieces joined are the text.  A null, empty or blank text is one piece of no
     tokens without a bin.  Repeated rows are packed each on their own.  Columns
-    with the added names are replaced.  Bins depend on ids and row order of equal
-    sizes only through a hash, never on the number of tasks.
+    with the added names are replaced.  Which piece shares a bin with which follows
+    from a 64-bit hash of the whole row (columns that hold maps aside), never from the
+    number of tasks; rows that are alike are told apart by a count.
 
     Writes the pieces, then their places: two jobs while it is built.
     """
-    docs = clear_of(docs, PLACED)
-    cut = written(_cut(docs, text, max(lengths), with_text).withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    slim = cut.where("n_tokens > 0").select("_row", "n_tokens")
+    docs, at, restored = set_apart(clear_of(docs, PLACED))
+    hashed = docs.withColumn("_hash", F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
+    cut = written(_cut(hashed, at(text), max(lengths), with_text).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    slim = cut.where("n_tokens > 0").select("_row", "n_tokens", F.xxhash64("_hash", "piece").alias("_key"))
     groups = max(1, -(-slim.count() // group))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "_row"], ascending=[False, True])
+        pdf = pdf.sort_values(["n_tokens", "_key", "_repeat"], ascending=[False, True, True])
         bins, offsets, size = best_fit(pdf["n_tokens"].tolist(), lengths)
         bins = np.array(bins)
         used = np.bincount(bins, weights=pdf["n_tokens"])
         return pd.DataFrame({"_row": pdf["_row"], "bin_id": (int(pdf["_group"].iloc[0]) << 24) + bins, "bin_offset": offsets,
                              "bin_used": used[bins].astype(int), "bin_length": np.array(size)[bins]})
 
-    placed = slim.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups))).groupBy("_group").applyInPandas(
-        place, "_row bigint, bin_id bigint, bin_offset bigint, bin_used bigint, bin_length bigint")
-    return cut.join(written(placed, "places"), "_row", "left").drop("_row")
+    placed = _number_repeats(slim).withColumn("_group", F.pmod(F.xxhash64("_key", "_repeat"), F.lit(groups))).groupBy(
+        "_group").applyInPandas(place, "_row bigint, bin_id bigint, bin_offset bigint, bin_used bigint, bin_length bigint")
+    # Without its text a piece has the row's other columns only.
+    kept = [c for name, c in restored.items() if with_text or name.lower() != text.lower()]
+    return cut.join(written(placed, "places"), "_row", "left").select(*kept, *PLACED)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .exprs import clear_of, interleave, let, pieces_and_matches
+from .exprs import clear_of, interleave, let, pieces_and_matches, set_apart
 
 ROUNDS = 8
 #: Written formats, in the order in which they are tried at a place.
@@ -215,8 +215,8 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", backward: bool =
     restores the original values.  A null text stays null with nothing found;
     repeated rows are kept; columns with the added names are replaced.
     """
-    t = F.col(f"`{text}`")
-    docs = clear_of(docs, ["n_pii", "pii_kinds"])
+    docs, at, restored = set_apart(clear_of(docs, ["n_pii", "pii_kinds"]))
+    t = F.col(at(text))
 
     def rewrite(pieces, found):
         moved = F.transform(found, lambda m: F.struct(
@@ -227,7 +227,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", backward: bool =
     # Every format holds an @ or a digit: texts without one are not searched.
     done = F.when(t.rlike("[0-9@]"), pieces_and_matches(t, ANY, rewrite))
     out = docs.withColumn("_done", done)
-    columns = [F.coalesce(F.col("_done.text"), t).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.coalesce(F.col("_done.text"), t).alias(name) if name.lower() == text.lower() else c for name, c in restored.items()]
     kinds = F.coalesce(F.col("_done.kinds"), F.array().cast("array<string>"))
     return out.select(*columns, F.size(kinds).cast("bigint").alias("n_pii"), F.array_join(kinds, ",").alias("pii_kinds"))
 

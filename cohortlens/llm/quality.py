@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.session import written
 
-from .exprs import SPACES, clear_of, let, words
+from .exprs import SPACES, clear_of, let, set_apart, words
 
 #: Statistics of the vector, and the least standard deviation each is taken to
 #: have: below it differences are not evidence of anything.
@@ -31,8 +31,8 @@ GROUP = ("_lang", "_source")
 
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts of each whole text; zero for a null text."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    docs = clear_of(docs, COUNTS)
+    docs, at, restored = set_apart(clear_of(docs, COUNTS))
+    t = F.coalesce(F.col(at(text)), F.lit(""))
     symbols = "#*$%&|<>"
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     return docs.select(
@@ -42,7 +42,7 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         let(words(t), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeated(w).alias("r"))).alias("_w"),
         let(lines, lambda a: F.struct(F.size(a).cast("bigint").alias("n"),
                                       (F.size(a) - F.size(F.array_distinct(a))).cast("bigint").alias("d"))).alias("_l"),
-    ).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_w.n").alias("n_words"), "word_chars", "n_symbols",
+    ).select(*restored.values(), F.col("_w.n").alias("n_words"), "word_chars", "n_symbols",
              F.col("_l.d").alias("n_dup_lines"), F.col("_w.r").alias("n_repeat_words"), F.col("_l.n").alias("n_lines"))
 
 
@@ -195,11 +195,11 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
 
     Writes the statistics once and runs a few jobs over them while it is built.
     """
-    docs = clear_of(docs, ["base_failed", "distance", "kept"])
-    counted = text_counts(docs, text)
-    slim = counted.select(F.coalesce(F.concat(F.lit("="), F.col(f"`{lang}`")), F.lit("")).alias("_lang"),
-                          F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit("")).alias("_source"),
-                          *[c for c in counted.columns if c != text]).withColumn("base_failed", failed())
+    docs, at, restored = set_apart(clear_of(docs, [*COUNTS, "base_failed", "distance", "kept"]))
+    counted = text_counts(docs, at(text))
+    slim = counted.select(F.coalesce(F.concat(F.lit("="), at(lang)), F.lit("")).alias("_lang"),
+                          F.coalesce(F.concat(F.lit("="), at(source)), F.lit("")).alias("_source"),
+                          *[c for c in counted.columns if c != at(text)]).withColumn("base_failed", failed())
     table = written(slim, "quality")
     good = table.where(~F.col("base_failed")).select(*GROUP, *_vector())
     sizes = written(good.groupBy(*GROUP).count(), "quality-sizes")
@@ -221,6 +221,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     center, factor = _factor_columns()
     distance = F.when(~F.col("base_failed"), _distance(center, factor, _shrunk(factor, F.col("_scale"))) / F.col("_scale"))
     cutoff = chi2_quantile(ADMITTED, len(VECTOR)) if cutoff is None else cutoff
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], *COUNTS, "base_failed",
-                         distance.alias("distance")).withColumn(
-        "kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff))
+    kept = ~F.col("base_failed") & (F.coalesce(F.col("_distance"), F.lit(0.0)) <= cutoff)
+    return placed.withColumn("_distance", distance).select(
+        *[c for name, c in restored.items() if name.lower() != text.lower()], *COUNTS, "base_failed",
+        F.col("_distance").alias("distance"), kept.alias("kept"))

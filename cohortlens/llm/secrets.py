@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .exprs import clear_of, interleave, let, pieces_and_matches, running_sums
+from .exprs import clear_of, interleave, let, pieces_and_matches, running_sums, set_apart
 
 try:  # the parser of the standard library's expressions
     from re import _parser as sre
@@ -139,9 +139,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ``secret_spans`` is replaced.
     """
     indexed = [r for r in rules if trigram_query(r.pattern)]
-    docs = clear_of(docs, ["secret_spans"])
-    keyed = docs.select("*", F.col(f"`{id_col}`").alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"),
-                        F.col(f"`{text}`").alias("_text"))
+    docs, at, restored = set_apart(clear_of(docs, ["secret_spans"]))
+    keyed = docs.select("*", F.col(at(id_col)).alias("_key"), F.xxhash64(at(text)).alias("_hash"), F.col(at(text)).alias("_text"))
     if indexed:
         found = candidates(keyed, ["_key", "_hash"], "_text", indexed).withColumnsRenamed({"_key": "_k", "_hash": "_h"})
         keyed = keyed.join(found, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
@@ -154,7 +153,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         wanted = F.array_contains("_kinds", rule.kind) if rule in indexed else F.col("_text").rlike(_least(rule))
         parts.append(F.when(wanted, _spans(F.col("_text"), rule, order).cast(SPAN)).otherwise(empty))
     spans = F.array_sort(F.concat(*parts))
-    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns], spans.alias("secret_spans"))
+    # Spans come first: inside a lambda a name also finds the columns of its own selection.
+    return keyed.withColumn("_spans", spans).select(*restored.values(), F.col("_spans").alias("secret_spans"))
 
 
 def _least(rule: Rule) -> str:

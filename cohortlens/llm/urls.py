@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortlens.session import written
 
 from .components import components
-from .exprs import clear_of
+from .exprs import clear_of, set_apart
 
 #: Fixed values of the task: host, path and verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -96,11 +96,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None, links: DataFra
     spark = pages.sparkSession
     if rules is None:
         rules = spark.createDataFrame([(h, p, v) for h, p, v in RULES], "rule_host string, rule_path string, verdict string")
-    pages = clear_of(pages, ["host", "path", "rule", "verdict", "component"])
-    u, m = F.col(f"`{url}`"), F.col(f"`{html}`") if html in pages.columns else F.lit(None).cast("string")
+    pages, at, restored = set_apart(clear_of(pages, ["host", "path", "rule", "verdict", "component"]))
+    marked_up = html in restored
+    u, m = F.col(at(url)), F.col(at(html)) if marked_up else F.lit(None).cast("string")
     base = pages.withColumns({"host": host_of(u), "path": path_of(u), "_node": canonical(u), "_to": F.transform(
         F.coalesce(link_targets(u, m), F.array().cast("array<string>")), canonical)})
-    base = written(base.drop(html), "pages")
+    base = written(base.drop(at(html)) if marked_up else base, "pages")
     edges = base.select(F.col("_node").alias("a"), F.explode("_to").alias("b"))
     if links is not None:
         edges = edges.union(links.select(canonical(F.col("src")), canonical(F.col("dst"))))
@@ -113,6 +114,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None, links: DataFra
     spread = judged.where("rule_verdict IS NOT NULL AND component IS NOT NULL").groupBy("component").agg(
         F.max(F.col("rule_verdict") == "allow").alias("_allowed"))
     inherited = F.when(F.col("_allowed"), "allow").when(~F.col("_allowed"), "block").otherwise("allow")
-    kept = [F.col(f"`{c}`") for c in pages.columns if c != html]
+    kept = [c for name, c in restored.items() if name != html]
     return judged.join(spread, "component", "left").select(
         *kept, "host", "path", "rule", F.coalesce("rule_verdict", inherited).alias("verdict"), "component")

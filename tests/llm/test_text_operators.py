@@ -540,3 +540,44 @@ def test_roles_of_held_out_conversations(spark):
         rows.select("conv_id", F.col("turn").alias("first_turn"), F.col("role").alias("truth")), ["conv_id", "first_turn"])
     good, n = test.agg(F.sum((F.col("truth") == F.col("role")).cast("int")), F.count("*")).first()
     assert n > 50 and good >= 0.9 * n
+
+
+# ---- names of the operators' own columns ----------------------------------------
+
+INNER = ["_key", "_hash", "_text", "_kinds", "_k", "_h", "_low", "_w", "_l", "_lang", "_source", "_level", "_a", "_b", "k", "v_length",
+         "e_0", "m_0", "f_0_0", "_scale", "_d", "_distance", "count", "_to", "_node", "_allowed", "rule_verdict", "node", "_done", "_row",
+         "_n", "_group", "_task", "_repeat", "_spans", "in_0", "in_1", "with space"]
+
+
+@pytest.mark.parametrize("apply", [
+    secrets.scan_secrets, quality.quality_rules, urls.filter_urls, lambda df: privacy.pseudonymize(df, "key"),
+    packing.pack, lambda df: packing.pack(df, with_text=False)], ids=["secrets", "quality", "urls", "privacy", "pack", "pack_slim"])
+def test_columns_may_have_inner_names(spark, apply):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 80) + " token=abcdefgh1 a@b.example", "en", "web", f"http://a{i}.org/x", "") for i in range(60)]
+    plain = docs(spark, rows, "doc_id bigint, text string, lang string, source string, url string, html string")
+    named = plain.select("*", *[F.concat(F.lit(f"{c}:"), "doc_id").alias(c) for c in INNER])
+    out = apply(named)
+    assert set(INNER) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+    rows = out.collect()
+    assert len(rows) == 60 and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in INNER)
+    own = [c for c in apply(plain).columns if c not in ("bin_id", "bin_offset", "bin_used", "bin_length")]
+    assert sorted(map(str, out.select(*own).collect())) == sorted(map(str, apply(plain).select(*own).collect()))
+
+
+@pytest.mark.parametrize("with_text", [True, False])
+def test_bins_do_not_depend_on_tasks(spark, with_text):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randrange(1, 150))) for i in range(80)] + [(7, "the same row")] * 40
+    places = [sorted(map(tuple, packing.pack(docs(spark, rows).repartition(n), lengths=(16, 64, 100), group=30, with_text=with_text)
+                         .collect())) for n in (2, 5)]
+    assert places[0] == places[1] and len({p[-4] for p in places[0]}) > 1
+
+
+def test_items_in_many_blocks(spark):
+    rng = random.Random(10)
+    items = [(i, prose(rng, 20)) for i in range(12)]
+    texts = docs(spark, [(i, f"{prose(rng, 30)} {t} {prose(rng, 30)}") for i, t in items] + [(99, None)])
+    found = [sorted(map(str, decontaminate.find_items(texts, docs(spark, items, "item_id bigint, text string"), block_bytes=b).collect()))
+             for b in (4 << 20, 1000)]
+    assert found[0] == found[1] and sum("item_id=" in r for r in found[0]) == 12
