@@ -23,14 +23,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.columns import col
 from .ordering import hash32, with_rank
 
-ROUNDS = 4
+ROUNDS = 8
 CHUNK = 256
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
-    x = (x ^ np.uint64(key & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    # Keys that follow each other are spread over all 64 bits before they meet x.
+    x = x + np.uint64(key * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def permuted(rank: np.ndarray, n: int, key: int) -> np.ndarray:
