@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import join_on_keys
+from ..session import written
 from .cohort import SUBJECT
 
+#: Profiles of a group that one task pairs with as many others.
+TILE = 4096
+
 
 def membership_profiles(members: DataFrame, group: str = "group_id", subject: str = SUBJECT) -> DataFrame:
     """The set of groups of each subject: ``(subject, profile)``.
@@ -37,11 +42,32 @@ def cooccurrence(members: DataFrame, known: DataFrame | None = None, group: str
     return _shared(flat, flat)
 
 
+def _tiled(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the tiles ``_ta`` and ``_tb`` in which they meet.
+
+    A group of more than TILE profiles is cut into tiles by a hash of the
+    profile.  A left profile is repeated for each tile of the right side and a
+    right one for each of the left, so every pair meets once, in the pair of
+    their tiles, and a task holds about TILE profiles a side.  Groups up to TILE
+    are one tile and nothing is repeated.
+    """
+    def cut(side, sizes, own, other):
+        at = join_on_keys(side, sizes, ["_g"])
+        return at.select("_g", "profile", "subjects", F.pmod(F.xxhash64("profile"), F.col(f"_n{own}")).alias(f"_t{own}"),
+                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_n{other}") - 1)).alias(f"_t{other}"))
+
+    tiles = lambda side, name: side.groupBy("_g").agg(F.ceil(F.count("*") / TILE).alias(name))
+    sizes = written(tiles(left, "_na").join(tiles(right, "_nb"), "_g"), "tiles")
+    return cut(left, sizes, "a", "b"), cut(right, sizes, "b", "a")
+
+
 def _shared(left: DataFrame, right: DataFrame) -> DataFrame:
     """Shared groups of the profiles of two exploded tables ``(profile, subjects, _g)``."""
-    a = left.select("_g", F.col("profile").alias("profile_a"), F.col("subjects").alias("subjects_a"))
-    b = right.select("_g", F.col("profile").alias("profile_b"), F.col("subjects").alias("subjects_b"))
-    return a.join(b, "_g").where((F.col("profile_a") != F.col("profile_b")) | (F.col("subjects_a") > 1)).groupBy(
+    left, right = _tiled(left, right)
+    at = ["_g", "_ta", "_tb"]
+    a = left.select(*at, F.col("profile").alias("profile_a"), F.col("subjects").alias("subjects_a"))
+    b = right.select(*at, F.col("profile").alias("profile_b"), F.col("subjects").alias("subjects_b"))
+    return a.join(b, at).where((F.col("profile_a") != F.col("profile_b")) | (F.col("subjects_a") > 1)).groupBy(
         "profile_a", "profile_b", "subjects_a", "subjects_b").agg(F.count("*").alias("n"))
 
 

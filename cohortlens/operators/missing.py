@@ -6,12 +6,11 @@ import operator
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import columns as X
 from ..functions.columns import col, join_on_keys
-from ..session import allow_wide
+from ..session import allow_wide, written
 from . import clean
 from .cohort import SUBJECT
 from .ordering import HASH_SPAN, hash32, with_rank
@@ -23,7 +22,10 @@ NOT_MEASURED = "interview|sex|resp|relat"
 NOT_COUNTED = "interview|relationship|respon|intersection"
 SOME_MISSING = 0.15
 
-MAX_PATTERNS = 62
+#: Blocks whose bits share one number.
+WORD = 62
+#: Flags of all patterns up to which their table is broadcast.
+BROADCAST_FLAGS = 1_000_000
 
 
 def feature_columns(df: DataFrame, without: str = NOT_MEASURED, subject: str = SUBJECT) -> list[str]:
@@ -139,19 +141,47 @@ def inject_mcar(df: DataFrame, blocks: Mapping[str, Sequence[str]], alpha: float
     if draw is None:
         draw = lambda ident, salt: hashed_draw(ident, *by, salt=salt)
     names = list(blocks)
-    bits = [_high_bit(draw(row_id, seed * 1000 + i + 1)) for i in range(len(names))]
-    pattern = reduce(operator.add, [b * F.lit(1 << i) for i, b in enumerate(bits)])
-    marked = df.withColumn("_pattern", pattern.cast("int")).withColumn("_draw", draw(row_id, seed * 1000))
-    ranked = with_rank(marked, [*by, "_pattern"], "_draw", [row_id], "_rank", "_size")
-    hit = (F.col("_rank") <= F.ceil(F.lit(alpha) * F.col("_size"))) & (F.col("_pattern") < (1 << len(names)) - 1)
-    ranked = ranked.withColumn("_lost", F.when(hit, F.col("_pattern")).otherwise(0))
+    bits = [_high_bit(draw(row_id, seed * 1000 + i + 1)).cast("bigint") for i in range(len(names))]
+    # A pattern is one number for every 62 blocks.
+    words = [bits[i:i + WORD] for i in range(0, len(bits), WORD)]
+    patterns = [f"_pattern{w}" for w in range(len(words))]
+    marked = df.withColumns({
+        name: reduce(operator.add, [b * F.lit(1 << i).cast("bigint") for i, b in enumerate(word)])
+        for name, word in zip(patterns, words)}).withColumn("_draw", draw(row_id, seed * 1000))
+    ranked = with_rank(marked, [*by, *patterns], "_draw", [row_id], "_rank", "_size")
+    spared = reduce(operator.and_, [F.col(name) == (1 << len(word)) - 1 for name, word in zip(patterns, words)])
+    ranked = ranked.withColumn("_hit", (F.col("_rank") <= F.ceil(F.lit(alpha) * F.col("_size"))) & ~spared)
     block_of = {c: i for i, n in enumerate(names) for c in blocks[n]}
-    lost = lambda c: F.col("_lost").bitwiseAND(F.lit(1 << block_of[c])) != 0
+
+    def lost(c):
+        word, i = divmod(block_of[c], WORD)
+        return F.col("_hit") & (F.col(patterns[word]).bitwiseAND(F.lit(1 << i).cast("bigint")) != 0)
+
     return ranked.select(*[F.when(~lost(c), col(c)).alias(c) if c in block_of else col(c) for c in df.columns])
 
 
+def mar_patterns(spark, features: int, patterns: int, alpha: float, seed: int, draw: Callable[..., Column]) -> DataFrame:
+    """Random patterns: ``(_pattern, _keep, _weigh, _chance)``.
+
+    Per feature whether the pattern keeps it and whether it weighs it, a bit
+    each; per quarter how likely a row is hit.  Every value is a draw from the
+    number of its pattern and place, so there is no limit on patterns.
+    """
+    at = lambda width, i: F.col("_pattern") * F.lit(width) + i
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(features - 1).cast("bigint"))
+    flags = lambda salt: F.transform(places, lambda i: _high_bit(draw(at(features, i), salt)) == 1)
+    odds = F.array(F.lit(1.0), *[F.floor(draw(at(3, F.lit(q)), seed * 1000 + 4) / (HASH_SPAN / 5)).cast("double")
+                                 for q in range(3)])
+    table = spark.range(patterns).select(F.col("id").alias("_pattern")).select(
+        "_pattern", flags(seed * 1000 + 2).alias("_keep"), flags(seed * 1000 + 3).alias("_weigh"), odds.alias("_odds"))
+    mean = F.aggregate("_odds", F.lit(0.0), lambda a, x: a + x) / 4
+    return table.select("_pattern", "_keep", "_weigh",
+                        F.transform("_odds", lambda x: F.lit(alpha) * x / mean).alias("_chance"))
+
+
 def inject_mar(df: DataFrame, features: Sequence[str], alpha: float = 0.20, row_id: str = SUBJECT,
-               by: Sequence[str] = (), patterns: int = 16, seed: int = 0) -> DataFrame:
+               by: Sequence[str] = (), patterns: int = 16, seed: int = 0,
+               draw: Callable[..., Column] | None = None) -> DataFrame:
     """Values missing at random: how likely depends on observed values.
 
     Each row draws one of ``patterns`` random patterns (bit 0: the feature is
@@ -159,35 +189,33 @@ def inject_mar(df: DataFrame, features: Sequence[str], alpha: float = 0.20, row_
     cut at the quartiles of a weighted sum of the features the pattern leaves,
     equal sums together.  The lowest quarter has odds 1, the others draw odds
     0 to 4, and a row is hit with probability alpha * odds / mean odds.  A
-    pattern's only row is always hit.
+    pattern's only row is always hit.  ``by`` columns (an iteration number) draw
+    independently, from the same patterns.  With ``draw`` as the source of
+    chance of the rows, the patterns come from ``arithmetic_draw``.
     """
-    if not 1 <= patterns <= MAX_PATTERNS:
-        raise ValueError(f"1 to {MAX_PATTERNS} patterns")
+    if patterns < 1:
+        raise ValueError("at least one pattern")
     allow_wide(df, features)
     features = list(features)
-    # What a pattern keeps, weighs and how likely it hits is drawn once, and
-    # enters the expressions as constants: per feature one bit per pattern.
-    rng = np.random.default_rng(seed)
-    keeps, weighs = rng.integers(0, 2, (2, patterns, len(features)))
-    odds = np.column_stack([np.ones(patterns), rng.integers(0, 5, (patterns, 3))])
-    chances = alpha * odds / odds.mean(axis=1, keepdims=True)
-    bits = lambda flags: F.lit(sum(1 << p for p in range(patterns) if flags[p])).cast("bigint")
-    has = lambda flags: bits(flags).bitwiseAND(F.col("_bit")) != 0
-    pattern = F.pmod(hashed_draw(row_id, *by, salt=seed * 1000 + 1), F.lit(patterns)).cast("int")
-    kept = {c: has(keeps[:, i]) for i, c in enumerate(features)}
-    weighted = X.row_sum([F.when(has(keeps[:, i] & weighs[:, i]), col(c)) for i, c in enumerate(features)])
-    marked = df.withColumn("_pattern", pattern).withColumn("_bit", F.expr("shiftleft(1L, _pattern)")).withColumn(
-        "_sum", weighted)
+    of_row = draw or (lambda ident, salt: hashed_draw(ident, *by, salt=salt))
+    of_pattern = arithmetic_draw if draw else (lambda ident, salt: hashed_draw(ident, salt=salt))
+    table = written(mar_patterns(df.sparkSession, len(features), patterns, alpha, seed, of_pattern), "patterns")
+    if patterns * len(features) <= BROADCAST_FLAGS:
+        table = F.broadcast(table)
+    chosen = df.withColumn("_pattern", F.pmod(of_row(row_id, seed * 1000 + 1), F.lit(patterns)).cast("bigint")).join(
+        table, "_pattern")
+    kept = {c: F.col("_keep")[i] for i, c in enumerate(features)}
+    weighted = X.row_sum([F.when(kept[c] & F.col("_weigh")[i], col(c)) for i, c in enumerate(features)])
+    marked = chosen.withColumn("_sum", weighted).drop("_weigh")
     # Equal sums collapse before they are ranked, however many rows share one.
     slot = [*by, "_pattern", "_sum"]
     sums = with_rank(marked.groupBy(*slot).agg(F.count("*").alias("_c")), slot[:-1], "_sum", [], "_upto", "_size",
                      span=None, weight="_c")
     ranked = join_on_keys(marked, sums, slot)
     quarter = F.least(F.floor(4 * (F.col("_upto") - F.col("_c")) / F.col("_size")), F.lit(3)).cast("int")
-    chance = F.element_at(F.array(*[F.lit(float(x)) for x in chances.ravel()]), F.col("_pattern") * 4 + quarter + 1)
-    draw = hashed_draw(row_id, *by, salt=seed * 1000 + 5) / F.lit(float(HASH_SPAN))
-    loses = has(~keeps.astype(bool).all(axis=1))
-    hit = loses & ((F.col("_size") == 1) | (draw < chance))
+    chance = F.get(F.col("_chance"), quarter)
+    share = of_row(row_id, seed * 1000 + 5) / F.lit(float(HASH_SPAN))
+    hit = F.exists("_keep", lambda k: ~k) & ((F.col("_size") == 1) | (share < chance))
     ranked = ranked.withColumn("_hit", hit)
     return ranked.select(*[
         F.when(~F.col("_hit") | kept[c], col(c)).alias(c) if c in kept else col(c) for c in df.columns])

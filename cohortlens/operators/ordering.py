@@ -17,6 +17,8 @@ from ..session import written
 HASH_SPAN = 1 << 32
 SKETCH_ACCURACY = 10_000
 SMALL_GROUP = 5 * SKETCH_ACCURACY
+GRID = 1_000
+BUCKET_ROWS = 1_000_000
 
 
 def hash32(*cols, seed: int = 0) -> Column:
@@ -47,12 +49,12 @@ def with_group_count(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame
 
 def with_rank(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence[str],
               name: str = "rank", size: str | None = None, span: int | None = HASH_SPAN,
-              buckets: int = 256, weight: str | None = None) -> DataFrame:
+              buckets: int | None = None, weight: str | None = None) -> DataFrame:
     """Exact 1-based rank of each row in its key, ordered by a numeric column.
 
     A rank is the offset of a bucket of the order plus the rank inside it.  With
     ``span`` the order is uniform on [0, span), as a hash is, and cut into
-    ``buckets``.  With ``span=None`` the order has any type, and the buckets are
+    ``buckets``, by default 256 or as many as leave BUCKET_ROWS rows in one.  With ``span=None`` the order has any type, and the buckets are
     the range partitions of (keys, order, tiebreak), as many as the session's
     shuffle has: a key of many rows spreads over its share of them.  They are
     written once, as sampled borders would differ in a second run.  ``size``
@@ -61,6 +63,7 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence
     the last of them.
     """
     if span is not None:
+        buckets = buckets or max(256, -(-df.count() // BUCKET_ROWS))
         bucket = F.floor(col(order) * F.lit(buckets / span)).cast("int")
     else:
         by = list(dict.fromkeys([*keys, order, *tiebreak]))
@@ -89,11 +92,15 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Linearly interpolated quantiles per key: ``(*keys, prob, quantile)``.
 
-    A mergeable sketch per key brackets each wanted rank; its rank error is at
-    most n / SKETCH_ACCURACY, and the bracket is twice that on either side, so
-    the wanted order statistics lie inside.  The second pass counts the values
-    below the bracket and sorts only those within.  Keys with few rows use
-    their full range as the bracket.  No key's values gather in one task.
+    A selection by counts.  A mergeable sketch per key brackets each wanted rank;
+    its rank error is at most n / SKETCH_ACCURACY, and the bracket is twice that
+    on either side, so the wanted order statistics lie inside.  While the rows
+    strictly inside the widest bracket may be more than SMALL_GROUP, another pass
+    counts them and sketches them alone, which narrows a bracket about 400 times,
+    equal values or not.  The last pass counts the values below the bracket and
+    sorts only those within, equal ones as one.  Keys with few rows use their
+    full range as the bracket.  However large a key is, no task sorts more than
+    about SMALL_GROUP of its values.
     """
     probs = [float(p) for p in probs]
     slack = 2.0 / SKETCH_ACCURACY
@@ -101,25 +108,28 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     keys = list(keys) or ["_all"]
     data = (df if keys != ["_all"] else df.withColumn("_all", F.lit(0))).select(
         *keys, col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    n = F.count("*")
     sketch = data.groupBy(*keys).agg(
-        n.alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_e"))
+        F.count("*").alias("_n"), F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_e"))
     small = F.col("_n") <= SMALL_GROUP
-    brackets = sketch.select(
+    # An end that is NULL is open to that side.
+    brackets = written(sketch.select(
         *keys, "_n",
         F.array(*[
             F.struct(
                 F.lit(p).alias("prob"),
                 ((F.col("_n") - 1) * F.lit(p)).alias("pos"),
-                F.when(small | F.lit(p <= slack), F.col("_min")).otherwise(F.col("_e")[i]).alias("lo"),
-                F.when(small | F.lit(p >= 1 - slack), F.col("_max")).otherwise(F.col("_e")[len(probs) + i]).alias("hi"),
-            ) for i, p in enumerate(probs)]).alias("_b"))
-    joined = join_summary(data, brackets, keys)
+                F.when(~small & F.lit(p > slack), F.col("_e")[i]).alias("lo"),
+                F.when(~small & F.lit(p < 1 - slack), F.col("_e")[len(probs) + i]).alias("hi"),
+            ) for i, p in enumerate(probs)]).alias("_b")), "brackets")
+    n = brackets.agg(F.max("_n")).first()[0] or 0
+    if 6 * n > SMALL_GROUP * SKETCH_ACCURACY:
+        brackets = _narrow(data, keys, brackets)
+    joined = join_summary(data, brackets.select(*keys, "_b"), keys)
     # Below or inside, per (key, prob, value): equal values collapse before the
     # shuffle and everything below a bracket collapses into one row.
-    spots = joined.select(*keys, "_v", F.explode("_b").alias("_b")).filter(F.col("_v") <= F.col("_b.hi")).select(
-        *keys, "_b.prob", "_b.pos", F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_v"))
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    spots = joined.select(*keys, "_v", F.explode("_b").alias("_b")).filter(hi.isNull() | (F.col("_v") <= hi)).select(
+        *keys, "_b.prob", "_b.pos", F.when(lo.isNull() | (F.col("_v") >= lo), F.col("_v")).alias("_v"))
     slot = [*keys, "prob"]
     counted = spots.groupBy(*slot, "pos", "_v").agg(F.count("*").alias("_c"))
     upto = Window.partitionBy(*slot).orderBy(F.col("_v").asc_nulls_first())
@@ -133,6 +143,40 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return out.select(*[k for k in slot if k != "_all"], quantile.alias("quantile"))
 
 
+def _narrow(data: DataFrame, keys: Sequence[str], brackets: DataFrame) -> DataFrame:
+    """Brackets with at most SMALL_GROUP rows strictly inside.
+
+    A round counts the rows below and inside each bracket and takes a grid of
+    quantiles of those inside.  The new ends are the grid points around the
+    wanted ranks, or the old end where a rank lies on it; values equal to an end
+    are not inside, so each round leaves at most about 1/400 of the rows.
+    """
+    slack = 2.0 / SKETCH_ACCURACY
+    grid = [i / GRID for i in range(GRID + 1)]
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    while True:
+        each = join_summary(data, brackets.select(*keys, "_b"), keys).select(*keys, "_v", F.explode("_b").alias("_b"))
+        above = lo.isNull() | (F.col("_v") > lo)
+        counted = written(each.select(
+            *keys, "_b", (~above).alias("_low"), F.when(above & (hi.isNull() | (F.col("_v") < hi)), F.col("_v")).alias("_v"))
+            .groupBy(*keys, "_b").agg(
+                F.count(F.when(F.col("_low"), 1)).alias("_below"), F.count("_v").alias("_inside"),
+                F.percentile_approx("_v", grid, SKETCH_ACCURACY).alias("_e")), "narrowed")
+        if counted.agg(F.max("_inside")).first()[0] <= SMALL_GROUP:
+            return brackets
+        rank, inside = F.floor("_b.pos") - F.col("_below"), F.greatest(F.col("_inside"), F.lit(1))
+        left = F.floor((rank / inside - slack) * GRID)
+        right = F.ceil(((rank + 2) / inside + slack) * GRID)
+        point = lambda i: F.get(F.col("_e"), i.cast("int"))
+        wide = F.col("_inside") > SMALL_GROUP
+        # A wanted rank at or below the lower end, or at or above the upper one,
+        # keeps that end; the grid point nearest to it closes the other side.
+        new_lo = F.when(wide & (left > 0), point(F.least(left, F.lit(GRID)))).otherwise(lo)
+        new_hi = F.when(wide & (right < GRID), point(F.greatest(right, F.lit(0)))).otherwise(hi)
+        struct = F.struct(F.col("_b.prob").alias("prob"), F.col("_b.pos").alias("pos"), new_lo.alias("lo"), new_hi.alias("hi"))
+        brackets = written(counted.groupBy(*keys).agg(F.collect_list(struct).alias("_b")), "brackets")
+
+
 def five_numbers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Minimum, quartiles and maximum per key, as one row."""
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,6 +21,10 @@ NOT_A_FEATURE = "interview|sex|respond|relation"
 OBSERVATION_RECORD = ("instrument", "interview_age", "interview_date")
 SHARED = ("dataset_id", "interview_age", "interview_date", "sex")
 
+#: Bits of a mask, and how many of them are settled before equal masks are added.
+MAX_INSTRUMENTS = 62
+INSTRUMENTS_A_STEP = 4
+
 
 def stack(tables: Mapping[str, DataFrame], columns: Sequence[str], subject: str = SUBJECT) -> DataFrame:
     """Shared columns of all instruments, with the instrument's name."""
@@ -114,21 +117,38 @@ def combination_counts(memberships: DataFrame, instruments: Sequence[str], max_s
     those, zero included: ``(combination, size, subjects)``.
 
     Memberships (subject, instrument) collapse to one bit mask per subject and
-    then to one count per mask.  Only those few masks are expanded to the
-    combinations they cover, so a common pattern costs one row.  With many
-    instruments limit the combination size.
+    then to one count per mask, to which the mask of all instruments is added
+    with a count of 0, so that every combination occurs.  The counts are then
+    summed over supersets: instrument by instrument a mask that holds it counts
+    with it and without it, and equal masks are added up before the next few
+    instruments.  Work grows with the masks of each step, at most the number of
+    combinations, however many subjects there are.  With ``max_size`` a mask is
+    left out as soon as more instruments than that are settled in it.
+
+    A mask is a 64-bit number: more than 62 instruments raise ``ValueError``.
     """
     instruments = list(instruments)
+    if not 1 <= len(instruments) <= MAX_INSTRUMENTS:
+        raise ValueError(f"1 to {MAX_INSTRUMENTS} instruments")
     max_size = max_size or len(instruments)
-    combos = [c for size in range(1, max_size + 1) for c in combinations(range(len(instruments)), size)]
-    named = [(sum(1 << i for i in c), "&".join(instruments[i] for i in c), len(c)) for c in combos]
-    bit = reduce(lambda acc, i: acc.when(F.col("instrument") == instruments[i], F.lit(1 << i).cast("bigint")),
-                 range(1, len(instruments)), F.when(F.col("instrument") == instruments[0], F.lit(1).cast("bigint")))
+    bits = [F.lit(1 << i).cast("bigint") for i in range(len(instruments))]
+    bit = reduce(lambda acc, i: acc.when(F.col("instrument") == instruments[i], bits[i]),
+                 range(1, len(instruments)), F.when(F.col("instrument") == instruments[0], bits[0]))
     masks = memberships.select(subject, bit.alias("_bit")).groupBy(subject).agg(F.bit_or("_bit").alias("_mask"))
-    patterns = masks.filter(F.col("_mask").isNotNull()).groupBy("_mask").agg(F.count("*").alias("_n"))
-    wanted = memberships.sparkSession.createDataFrame(named, "_combo bigint, combination string, size int")
-    all_combos = F.array(*[F.lit(m).cast("bigint") for m, _, _ in named])
-    covered = F.filter(all_combos, lambda m: m.bitwiseAND(F.col("_mask")) == m)
-    counted = patterns.select(F.explode(covered).alias("_combo"), "_n").groupBy("_combo").agg(F.sum("_n").alias("_n"))
-    return wanted.join(counted, "_combo", "left").select(
-        "combination", "size", F.coalesce("_n", F.lit(0)).alias("subjects"))
+    everything = memberships.sparkSession.range(1).select(
+        F.lit((1 << len(instruments)) - 1).cast("bigint").alias("_mask"), F.lit(0).cast("bigint").alias("_n"))
+    counts = masks.filter(F.col("_mask").isNotNull()).groupBy("_mask").agg(
+        F.count("*").alias("_n")).unionByName(everything)
+    for start in range(0, len(instruments), INSTRUMENTS_A_STEP):
+        for i in range(start, min(start + INSTRUMENTS_A_STEP, len(instruments))):
+            mask, settled = F.col("_mask"), F.lit((2 << i) - 1).cast("bigint")
+            held = mask.bitwiseAND(bits[i]) != 0
+            both = F.when(held, F.array(mask, mask.bitwiseXOR(bits[i]))).otherwise(F.array(mask))
+            counts = counts.select(F.explode(both).alias("_mask"), "_n")
+            if max_size < len(instruments):
+                counts = counts.filter(F.bit_count(mask.bitwiseAND(settled)) <= max_size)
+        counts = counts.groupBy("_mask").agg(F.sum("_n").alias("_n"))
+    named = F.array(*[F.when(F.col("_mask").bitwiseAND(b) != 0, F.lit(n)) for b, n in zip(bits, instruments)])
+    return counts.filter("_mask <> 0").select(
+        F.array_join(named, "&").alias("combination"), F.bit_count("_mask").cast("int").alias("size"),
+        F.col("_n").alias("subjects"))

@@ -34,13 +34,17 @@ def quantile_intervals(values: DataFrame, keys: Sequence[str], value: str = "val
 
     The standard error weights each ordered value by a difference of beta
     distribution functions at its rank, so values need only their ranks: equal
-    values collapse, and running counts come from value buckets.
+    values collapse, and running counts come from value buckets.  Beyond 12
+    standard deviations of the rank (and 40 ranks) those weights are below 1e-20
+    of the whole; only values within are weighted, about sqrt(n) of them.
     """
     keys = list(keys)
     counted = values.filter(col(value).isNotNull()).groupBy(*keys, col(value).alias("_v")).agg(F.count("*").alias("_c"))
     ranked = with_rank(counted, keys, "_v", [], "_upto", "_n", span=None, weight="_c")
-    each = ranked.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     n, upto, before = F.col("_n").cast("double"), F.col("_upto"), F.col("_upto") - F.col("_c")
+    center, spread = n * F.col("prob"), 12 * F.sqrt(n * F.col("prob") * (1 - F.col("prob"))) + 40
+    each = ranked.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).filter(
+        (upto > center - spread) & (before < center + spread))
     m = F.floor(F.col("prob") * n + 0.5)
     share = lambda x: P._vectorized(P.beta_cdf, (m - 1).cast("double"), (n - m).cast("double"), x)
     weight = F.when((m > 1) & (m < n), share(upto / n) - share(before / n))

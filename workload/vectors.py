@@ -144,31 +144,61 @@ def i3(spark, sf):
     return X.to_long(holes, [ID], FEATURES)
 
 
-@query("i4_inject_mar")
+MAR = [FULL_LONG, ("flags", f"""
+  SELECT p, j, {sql_bit('p*64+j', 2)}=1 AS keep, {sql_bit('p*64+j', 3)}=1 AS weigh
+  FROM (SELECT unnest(range(0, 16)) AS p), (SELECT unnest(range(0, 64)) AS j)"""), ("odds", f"""
+  SELECT p, q, CASE WHEN q=0 THEN 1 ELSE floor({sql_draw('(p*3+q-1)', 4)}/(4294967296/5.0)) END AS o
+  FROM (SELECT unnest(range(0, 16)) AS p), (SELECT unnest(range(0, 4)) AS q)"""),
+    ("chances", "SELECT p, q, 0.2*o/(sum(o) OVER (PARTITION BY p)/4) AS chance FROM odds"), ("sums", f"""
+  SELECT subjectkey, p, COALESCE(sum(CASE WHEN keep AND weigh THEN value END), 0) AS s, bool_and(keep) AS whole
+  FROM (SELECT *, {sql_draw('subjectkey', 1)}%16 AS p FROM full_long) JOIN flags USING (p, j) GROUP BY 1, 2"""), ("quarters", """
+  SELECT *, least(floor(4*(rank() OVER (PARTITION BY p ORDER BY s)-1)/count(*) OVER (PARTITION BY p)), 3) AS q,
+    count(*) OVER (PARTITION BY p) AS sz FROM sums"""), ("hits", f"""
+  SELECT subjectkey, p, NOT whole AND (sz=1 OR {sql_draw('subjectkey', 5)}/4294967296.0<chance) AS hit
+  FROM quarters JOIN chances USING (p, q)"""), ("hole", """
+  SELECT f.*, NOT hit OR keep AS kept FROM full_long f JOIN hits USING (subjectkey) JOIN flags USING (p, j)""")]
+
+
+def _mar(spark, sf):
+    return missing.inject_mar(full_rows(spark, sf), FEATURES, 0.2, ID, draw=missing.arithmetic_draw)
+
+
+@query("i4_inject_mar", with_(MAR, f"""
+SELECT feature, {r6('100*avg(CAST(NOT kept AS DOUBLE))')} AS missing_perc FROM hole GROUP BY 1"""))
 def i4(spark, sf):
-    """Features lost depending on observed values."""
-    return missing.missing_percent(missing.inject_mar(full_rows(spark, sf), FEATURES, 0.2, ID), FEATURES)
+    """Features lost depending on observed values: how many."""
+    return missing.missing_percent(_mar(spark, sf), FEATURES)
+
+
+@query("i4_injected_values", with_(MAR, f"SELECT subjectkey, feature, CASE WHEN kept THEN {r6('value')} END AS value FROM hole"))
+def i4_values(spark, sf):
+    """Features lost depending on observed values: every value, arithmetic draws."""
+    return X.to_long(_mar(spark, sf), [ID], FEATURES)
 
 
 _COPY = "(subjectkey*16+iteration)"
 _COPY_ID = "(vec_id*16+iteration)"
-INJECTED_COPIES = [FULL_LONG, ("its", "SELECT unnest(range(0, 2)) AS iteration"), ("copy_rows", f"""
+INJECTIONS = 10
+# All blocks are lost whole: a distance is a sum of block distances, which the
+# SQL computes once for all injections, and a block's cells share their donors.
+INJECTED_COPIES = [FULL_LONG, ("its", f"SELECT unnest(range(0, {INJECTIONS})) AS iteration"), ("copy_rows", f"""
   SELECT *, row_number() OVER (PARTITION BY iteration, pattern ORDER BY d, id) AS rn,
     count(*) OVER (PARTITION BY iteration, pattern) AS sz FROM (
     SELECT vec_id AS id, iteration, {' + '.join(f'{sql_bit(_COPY_ID, b + 1)}*{1 << b}' for b in range(4))} AS pattern,
-      {sql_draw(_COPY_ID, 0)} AS d FROM embeddings, its)"""), ("hole", """
-  SELECT f.subjectkey, f.j, f.feature, f.value, iteration,
-    NOT (rn<=ceil(0.2*sz) AND pattern<15 AND (pattern>>(j//16))&1=1) AS kept FROM full_long f JOIN copy_rows ON id=f.subjectkey"""),
-    ("seen", "SELECT * FROM hole WHERE kept"), ("pd", """
-  SELECT q.iteration, q.subjectkey AS q, t.subjectkey AS t,
-    round(sqrt(sum((q.value-t.value)*(q.value-t.value))*64.0/count(*)), 9) AS dist
-  FROM seen q JOIN seen t ON q.j=t.j AND q.iteration=t.iteration
-  WHERE q.subjectkey IN (SELECT subjectkey FROM hole WHERE NOT kept) GROUP BY 1, 2, 3"""), ("filled", """
-  SELECT iteration, subjectkey, j, avg(value) AS value FROM (
-    SELECT c.iteration, c.subjectkey, c.j, t.value, row_number() OVER (PARTITION BY c.iteration, c.subjectkey, c.j ORDER BY dist, t.subjectkey) AS rn
-    FROM (SELECT * FROM hole WHERE NOT kept) c JOIN seen t ON t.j=c.j AND t.iteration=c.iteration
-    JOIN pd ON pd.iteration=c.iteration AND pd.q=c.subjectkey AND pd.t=t.subjectkey) WHERE rn<=5 GROUP BY 1, 2, 3
-  UNION ALL SELECT iteration, subjectkey, j, value FROM seen""")]
+      {sql_draw(_COPY_ID, 0)} AS d FROM embeddings, its)"""), ("gone", """
+  SELECT id, iteration, CASE WHEN rn<=ceil(0.2*sz) AND pattern<15 THEN pattern ELSE 0 END AS lost FROM copy_rows"""),
+    ("bl", "SELECT subjectkey, " + ", ".join(f"list(value ORDER BY j) FILTER (WHERE j//16={b}) AS v{b}" for b in range(4))
+     + " FROM full_long GROUP BY 1"),
+    ("bd", "SELECT q.subjectkey AS q, t.subjectkey AS t, " + ", ".join(f"pow(list_distance(q.v{b}, t.v{b}), 2) AS d{b}" for b in range(4))
+     + " FROM bl q, bl t"),
+    ("sh", "SELECT a.iteration, q, t, a.lost AS lq, b.lost AS lt, " + ", ".join(f"d{b}, 1-(((a.lost|b.lost)>>{b})&1) AS c{b}" for b in range(4))
+     + " FROM bd JOIN gone a ON a.id=q AND a.lost>0 JOIN gone b ON b.id=t AND b.iteration=a.iteration"),
+    ("pd", """SELECT iteration, q, t, lq, lt, round(sqrt((c0*d0+c1*d1+c2*d2+c3*d3)*64.0/(16*(c0+c1+c2+c3))), 9) AS dist
+  FROM sh WHERE c0+c1+c2+c3>0"""), ("cand", """
+  SELECT iteration, q, t, b FROM pd, (SELECT unnest(range(0, 4)) AS b) WHERE (lq>>b)&1=1 AND (lt>>b)&1=0
+  QUALIFY row_number() OVER (PARTITION BY iteration, q, b ORDER BY dist, t)<=5"""), ("filled", """
+  SELECT iteration, q AS subjectkey, j, avg(value) AS value FROM cand JOIN full_long ON subjectkey=t AND j//16=b GROUP BY 1, 2, 3
+  UNION ALL SELECT iteration, subjectkey, j, value FROM full_long JOIN gone ON id=subjectkey WHERE (lost>>(j//16))&1=0""")]
 _STATS = {"mean": "avg(value)", "q0.25": "quantile_cont(value, CAST(0.25 AS DOUBLE))",
           "q0.5": "quantile_cont(value, CAST(0.5 AS DOUBLE))", "q0.75": "quantile_cont(value, CAST(0.75 AS DOUBLE))"}
 
@@ -178,7 +208,7 @@ def _copies_draw(c, salt):
 
 
 def _evaluated(spark, sf):
-    return imputation_check.evaluate_imputation(full_rows(spark, sf), FEATURES, 0.2, 2, 5, "MCAR", BLOCKS, ID,
+    return imputation_check.evaluate_imputation(full_rows(spark, sf), FEATURES, 0.2, INJECTIONS, 5, "MCAR", BLOCKS, ID,
                                                 draw=_copies_draw)
 
 
@@ -199,7 +229,7 @@ def i7(spark, sf):
 
 @query("i7_imputation_scores_mar")
 def i7_mar(spark, sf):
-    return imputation_check.evaluate_imputation(full_rows(spark, sf), FEATURES, 0.2, 2, 5, "MAR", row_id=ID)
+    return imputation_check.evaluate_imputation(full_rows(spark, sf), FEATURES, 0.2, INJECTIONS, 5, "MAR", row_id=ID)
 
 
 @query("f9_mean_intervals")
