@@ -83,3 +83,16 @@ def test_a_cluster_needs_a_shared_folder():
             master = "local-cluster[2,1,1024]"
     with pytest.raises(RuntimeError):
         session.shared_folder(Fake, "x")
+
+
+def test_many_tails_of_large_parameters_at_once():
+    # Each has converged at its own step; rounding errors keep some of them moving at any one.
+    t, n = np.random.default_rng(1).normal(size=5000) * 3, 65_000.0
+    many = beta_cdf(n / 2, 0.5, n / (n + t * t))
+    alone = [float(beta_cdf(n / 2, 0.5, n / (n + v * v))) for v in t[:200]]
+    assert many[:200] == pytest.approx(alone, rel=1e-12)
+    assert many == pytest.approx([math.erfc(abs(v) / math.sqrt(2)) for v in t], abs=1e-4)
+    a = np.full(5000, 3e4)
+    x = a + np.random.default_rng(2).normal(size=5000) * np.sqrt(a)
+    tails = gamma_tail(a, x)
+    assert tails[:200] == pytest.approx([float(gamma_tail(a[0], v)) for v in x[:200]], rel=1e-12)
