@@ -30,6 +30,8 @@ CUT_SAMPLE = 2048
 DEPTH = 5
 CHILD_BLOCK = 64
 PACK_ROWS = 1024
+#: Bytes of packs that a task gathers before it hands them on.
+OUT_BYTES = 4 << 20
 POOL = "pool"
 LEAST_FAMILY = 32
 FEW_FEATURES, FEW_FEATURES_ROWS, MANY_FEATURES_ROWS, LEAST_ROWS = 16, 512, 4096, 256
@@ -393,6 +395,31 @@ def packs(points: DataFrame, head: Sequence[str], row_id: str, schema: T.StructT
         gather, schema)
 
 
+def _visit(batches, fixed: Sequence[str], names: Sequence[str], d: int, k: int, fill: bool):
+    """Packs beside their node's children, to packs at those that may hold a near
+    row.  A pack may go to every child, so what was made is handed on after each
+    OUT_BYTES, whatever a batch holds."""
+    table = lambda rows: pd.DataFrame(rows, columns=[*fixed, "_node", "_ids", "_m", "_far"])[list(names)]
+    for pdf in batches:
+        out, held = [], 0
+        for row in pdf.to_dict("records"):
+            box = _box_of(row, d)
+            q, far, ids = np.frombuffer(row["_m"]).reshape(-1, d), np.frombuffer(row["_far"]), np.asarray(row["_ids"])
+            lower, upper = box_bounds(q, box)
+            lower = np.maximum(lower, ball_bound(q, box))
+            far = np.minimum(far, needed_reach(q, upper, box, k, fill))
+            near = (lower <= far[:, None] * (1 + 1e-9) + 1e-9) & np.isfinite(lower)
+            for j in np.flatnonzero(near.any(axis=0)):
+                those = near[:, j]
+                out.append((*[row[c] for c in fixed], row["_children"][j], ids[those], q[those].tobytes(), far[those].tobytes()))
+                held += 8 * (d + 2) * int(those.sum())
+                if held > OUT_BYTES:
+                    yield table(out)
+                    out, held = [], 0
+        if out:
+            yield table(out)
+
+
 def down(tree: CellTree, packed: DataFrame, k: int, fill: bool) -> DataFrame:
     """Packs of queries at every cell that may hold one of their k nearest rows:
     ``_node`` becomes the block's name."""
@@ -400,20 +427,5 @@ def down(tree: CellTree, packed: DataFrame, k: int, fill: bool) -> DataFrame:
     fixed = [c for c in names if c not in ("_node", "_ids", "_m", "_far")]
     at = packed.withColumn("_node", F.col("_group"))
     for level in tree.levels:
-        def visit(batches):
-            for pdf in batches:
-                out = []
-                for row in pdf.to_dict("records"):
-                    box = _box_of(row, d)
-                    q, far, ids = np.frombuffer(row["_m"]).reshape(-1, d), np.frombuffer(row["_far"]), np.asarray(row["_ids"])
-                    lower, upper = box_bounds(q, box)
-                    lower = np.maximum(lower, ball_bound(q, box))
-                    far = np.minimum(far, needed_reach(q, upper, box, k, fill))
-                    near = (lower <= far[:, None] * (1 + 1e-9) + 1e-9) & np.isfinite(lower)
-                    for j in np.flatnonzero(near.any(axis=0)):
-                        those = near[:, j]
-                        out.append((*[row[c] for c in fixed], row["_children"][j], ids[those], q[those].tobytes(), far[those].tobytes()))
-                if out:
-                    yield pd.DataFrame(out, columns=[*fixed, "_node", "_ids", "_m", "_far"])[names]
-        at = at.join(level, "_node").mapInPandas(visit, schema)
+        at = at.join(level, "_node").mapInPandas(lambda batches: _visit(batches, fixed, names, d, k, fill), schema)
     return at

@@ -261,3 +261,30 @@ def test_min_max(spark):
     df = spark.createDataFrame([("a", 1.0, 5.0), ("a", 3.0, 5.0), ("b", 9.0, 5.0), ("b", None, 5.0)], "g string, x double, y double")
     got = sorted((r["g"], r["x"] is None, r["x"] or 0.0, r["y"]) for r in X.with_min_max(df, ["x", "y"], ["g"]).collect())
     assert got == [("a", False, 0.0, 0.0), ("a", False, 1.0, 0.0), ("b", False, 0.0, 0.0), ("b", True, 0.0, 0.0)]
+
+
+def test_visits_hand_on_packs_before_they_pile_up(monkeypatch):
+    from cohortlens.operators import celltree
+    monkeypatch.setattr(celltree, "OUT_BYTES", 10_000)
+    d, rng = 8, np.random.default_rng(5)
+    boxes = {c: v.tobytes() for c, v in (("lo", np.zeros((40, d))), ("hi", np.ones((40, d))), ("count", np.full((40, d), 9.0)),
+                                         ("center", np.full((40, d), 0.5)))}
+    pack = {"_group": "", "_node": "", "_ids": np.arange(50), "_m": rng.random((50, d)).tobytes(),
+            "_far": np.full(50, np.inf).tobytes(), "_children": [f"c{j}" for j in range(40)], "n": [9] * 40, "radius": [np.inf] * 40, **boxes}
+    names = ["_group", "_node", "_ids", "_m", "_far"]
+    parts = list(celltree._visit([pd.DataFrame([pack] * 3)], ["_group"], names, d, 2, False))
+    assert max(part["_m"].map(len).sum() for part in parts) <= 10_000 + 50 * 8 * d
+    assert sum(part["_ids"].map(len).sum() for part in parts) == 3 * 40 * 50
+
+
+@pytest.mark.parametrize("fill", [False, True])
+def test_blocks_send_only_rows_within_reach(spark, fill):
+    # 16 features prune little: a query visits nearly every block, but few of those hold a near row.
+    x = np.random.default_rng(6).normal(size=(1500, 16))
+    if fill:
+        x[::3, 4] = np.nan
+    names = [f"f{i}" for i in range(16)]
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(subjectkey=range(1500)))
+    met = neighbors._nearest(rows, rows, names, 5, "subjectkey", [], fill, 64)
+    visits = neighbors.visited_rows(rows, rows, names, 5, fill=fill, block_rows=64).agg(F.sum("visited")).first()[0]
+    assert met.count() < 0.5 * 5 * visits / 64
