@@ -1,14 +1,15 @@
 """Errors of very many labellings of the same rows at once.
 
 The choice of k compares every number of clusters with many shuffles of its
-labels.  Neighbours do not depend on labels, so all labellings of a row travel as
-one array of small codes over (k, shuffle): a query gathers the arrays of its
-neighbours, votes for all labellings in a few array passes, and adds to counts of
-(truth, vote) that leave a task once.  No row is ever copied per shuffle.
+labels.  Neighbours do not depend on labels, so a query gathers what its neighbours'
+labels follow from, votes for all labellings, arrays of small codes over (k, shuffle),
+in a few array passes, and adds to counts of (truth, vote) that leave a task once.
+No row is ever copied per shuffle.
 
 A shuffle does not move labels either.  It is a keyed permutation of the ranks of
 a run's rows; with the labels sorted, the label at a permuted rank follows from
-how many rows have each label.
+how many rows have each label.  So a neighbour travels as its rank and its labels
+by k, and the task that votes computes its codes.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col
+from ..session import written
 from .ordering import hash32, with_rank
 
 ROUNDS = 8
@@ -90,28 +92,12 @@ def known_codes(labels: DataFrame) -> Codes:
     return Codes(ks, values, held)
 
 
-def _packed(labels: DataFrame, codes: Codes, iterations: int, row_id: str, seed: int) -> DataFrame:
-    """``(run, split, row_id, _p)``: a row's codes of all labellings; test rows
-    keep theirs in every shuffle."""
+def _ranked(labels: DataFrame, row_id: str, seed: int) -> DataFrame:
+    """``(run, split, row_id, _r, _l)``: a row's place in a random order of its run's
+    rows, and its labels by k.  All its shuffled labels follow from these two."""
     wide = labels.groupBy("run", "split", row_id).agg(F.array_sort(F.collect_list(F.struct("k", "label"))).alias("_l")).select(
         "run", "split", row_id, F.transform("_l", lambda x: x["label"]).alias("_l"), hash32(row_id, "run", seed=seed * 2 + 1).alias("_h"))
-    ranked = with_rank(wide, ["run", "split"], "_h", [row_id], "_r")
-    schema = T.StructType([wide.schema["run"], wide.schema["split"], wide.schema[row_id], T.StructField("_p", T.BinaryType())])
-
-    def pack(batches):
-        for pdf in batches:
-            for (run, split), part in pdf.groupby(["run", "split"], sort=False):
-                for s in range(0, len(part), CHUNK):
-                    some = part.iloc[s:s + CHUNK]
-                    own = codes.of(np.array(some["_l"].tolist()))
-                    if split == "train":
-                        all_ = codes.shuffled(int(run), some["_r"].to_numpy(np.int64) - 1, own, iterations, seed)
-                    else:
-                        all_ = np.repeat(own[:, :, None], iterations + 1, axis=2)
-                    yield pd.DataFrame({"run": some["run"].to_numpy(), "split": split, row_id: some[row_id].to_numpy(),
-                                        "_p": [a.tobytes() for a in all_]})
-
-    return ranked.mapInPandas(pack, schema)
+    return with_rank(wide, ["run", "split"], "_h", [row_id], "_r").drop("_h")
 
 
 def voted(codes: np.ndarray, most: int) -> np.ndarray:
@@ -134,23 +120,35 @@ def labelling_errors(labels: DataFrame, near: DataFrame, iterations: int, row_id
     ``iterations`` shuffles of the train labels.  Runs one small job for the codes.
     """
     codes = known_codes(labels)
-    packed = _packed(labels, codes, iterations, row_id, seed)
-    donors = packed.where("split = 'train'").select("run", col(row_id).alias("neighbor_id"), "_p")
-    gathered = near.join(donors, ["run", "neighbor_id"]).groupBy("run", "split", "query_id").agg(F.collect_list("_p").alias("_near"))
-    met = gathered.join(packed.withColumnRenamed(row_id, "query_id"), ["run", "split", "query_id"]).select("run", "split", "_near", "_p")
+    ranked = written(_ranked(labels, row_id, seed), "ranked")
+    donors = ranked.where("split = 'train'").select("run", col(row_id).alias("neighbor_id"), F.struct("_r", "_l").alias("_d"))
+    # Few bytes, much work: a fixed number of partitions, which adaptive execution does not join.
+    tasks, query = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["run", "split", "query_id"]
+    gathered = near.join(donors, ["run", "neighbor_id"]).repartition(tasks, *query).groupBy(*query).agg(F.collect_list("_d").alias("_near"))
+    met = gathered.join(ranked.withColumnRenamed(row_id, "query_id"), ["run", "split", "query_id"]).select(
+        "run", "split", F.transform("_near", lambda x: x["_r"]).alias("_near_r"),
+        F.flatten(F.transform("_near", lambda x: x["_l"])).alias("_near_l"), "_r", "_l")
     shape = (len(codes.ks), iterations + 1)
     size = [len(v) for v in codes.values]
-    read = lambda blobs: np.frombuffer(b"".join(blobs), np.uint16)
+
+    def all_labellings(run, ranks, own):
+        own = codes.of(np.concatenate(own.to_list()).reshape(-1, shape[0]))
+        return codes.shuffled(run, np.asarray(ranks, np.int64) - 1, own, iterations, seed)
 
     def count(batches):
         totals = {}
         for pdf in batches:
-            lengths = pdf["_near"].map(len)
+            lengths = pdf["_near_r"].map(len)
             for (run, split, m), part in pdf.groupby(["run", "split", lengths], sort=False):
                 for s in range(0, len(part), CHUNK):
                     some = part.iloc[s:s + CHUNK]
-                    votes = voted(read(b for blobs in some["_near"] for b in blobs).reshape(-1, m, *shape), codes.most)
-                    truth = read(some["_p"]).reshape(-1, *shape).astype(np.int64)
+                    there = all_labellings(int(run), np.concatenate(some["_near_r"].to_list()), some["_near_l"])
+                    votes = voted(there.reshape(-1, m, *shape), codes.most)
+                    if split == "train":
+                        truth = all_labellings(int(run), some["_r"], some["_l"])
+                    else:  # test rows keep theirs in every shuffle
+                        truth = np.repeat(codes.of(np.array(some["_l"].to_list()))[:, :, None], shape[1], axis=2)
+                    truth = truth.astype(np.int64)
                     for j, n in enumerate(size):
                         cell = (np.arange(shape[1]) * n + truth[:, j]) * n + np.minimum(votes[:, j], n - 1)
                         found = np.bincount(cell.ravel(), minlength=shape[1] * n * n)

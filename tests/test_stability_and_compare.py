@@ -299,3 +299,18 @@ def test_codebook_and_csv(spark, tmp_path):
     folder = shared_folder(spark, "csv")
     writers.save_csv(spark.createDataFrame([(2, "b"), (1, None)], "c int, s string"), folder, ["c"])
     assert [tuple(r) for r in readers.read_results(spark, folder, "c int, s string").orderBy("c").collect()] == [(1, None), (2, "b")]
+
+
+def test_shuffles_do_not_travel_with_the_neighbours(spark):
+    rows = spark.range(400).select(F.lit(0).alias("run"), F.lit("train").alias("split"), F.col("id").alias("subjectkey"),
+                                   F.explode(F.array(F.lit(2), F.lit(3))).alias("k"))
+    labels = rows.withColumn("label", (F.col("subjectkey") % F.col("k")).cast("int"))
+    near = labels.where("k = 2").select("run", "split", F.col("subjectkey").alias("query_id"),
+                                        F.explode(F.array("subjectkey", (F.col("subjectkey") + 6) % 400)).alias("neighbor_id"))
+    few, many = (packed.labelling_errors(labels, near, n, "subjectkey", lambda t: int(np.trace(t))) for n in (1, 300))
+    widths = []
+    for df in (few, many):
+        shuffled = df._jdf.queryExecution().optimizedPlan().toString()
+        widths.append("_p#" in shuffled)
+        assert df.where("split = 'train'").count() == 2
+    assert widths == [False, False] and set(packed._ranked(labels, "subjectkey", 0).columns) == {"run", "split", "subjectkey", "_l", "_r"}
