@@ -9,7 +9,7 @@ from cohortlens.operators import clean, cohort, graph, levels, missing, views
 from cohortlens.operators.levels import LevelConfig
 from cohortlens.operators.ordering import first_rows
 from cohortlens.plans.dataset import build_dataset
-from cohortlens.session import shared_folder
+from cohortlens.session import shared_folder, written
 from cohortlens.sources import readers, writers
 
 from .adapters import (DESCRIPTION, EVENT, EXCEPTION, FULL, INSTRUMENTS, ITEMS, LEVELS, MEMBERS, OBS, PATTERN, PEOPLE,
@@ -642,8 +642,8 @@ def u1(spark, sf):
     return two.unionByName(one, allowMissingColumns=True).withColumn("d", F.col("d").cast("double"))
 
 
-def _modules(spark, sf):
-    rows = obs(spark, sf)
+def _modules(spark, sf, rows=None):
+    rows = obs(spark, sf) if rows is None else rows
     base = ["subjectkey", "interview_age", "interview_date", "_ord"]
     return {
         "adosm1": rows.filter("instrument = 'A'").select(*base, *ITEMS),
@@ -803,8 +803,9 @@ def _config():
 
 
 def _all_tables(spark, sf):
-    rows = obs(spark, sf)
-    return {"adir": rows, "mullen": rows, **_modules(spark, sf), **_vineland_versions(spark, sf), **_srs_versions(spark, sf)}
+    # Joined once: every table of observations reads the same rows.
+    rows = written(obs(spark, sf), "observations")
+    return {"adir": rows, "mullen": rows, **_modules(spark, sf, rows), **_vineland_versions(spark, sf), **_srs_versions(spark, sf)}
 
 
 @query("a5_route_instruments")
