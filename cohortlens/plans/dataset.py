@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import cohort, views
 from ..operators.levels import LevelConfig, build_levels
+from ..session import written
 from ..sources.writers import save_snapshot, save_tables
 
 
@@ -24,6 +25,13 @@ class Dataset:
     cross_sections: dict[str, DataFrame]
     order: tuple[str, ...] = ("_ord",)
 
+    def computed_once(self) -> Dataset:
+        """The same with every level written to the shared folder, and the views
+        derived from the written levels: for queries that read both views."""
+        levels = {n: written(df, "level") for n, df in self.levels.items()}
+        return replace(self, levels=levels, longitudinal=longitudinal_index(levels),
+                       cross_sections=views.cross_sections(levels, self.order))
+
     def save(self, folder: str) -> DataFrame:
         """Parquet snapshots of every part under one folder, and the rows and
         subjects of each: ``(stage, instrument, observations, subjects)``, zeros

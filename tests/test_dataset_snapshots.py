@@ -38,3 +38,13 @@ def test_names_shared_by_instruments_carry_them(spark):
     assert inner.columns == ["subjectkey", "x_a", "interview_age_a", "x_b", "y", "z"]
     assert outer.columns == ["subjectkey", "x_a", "x_b", "y_b", "z"]
     assert sorted(outer.select(F.sum("x_a"), F.sum("x_b"), F.count("*")).first()) == [3, 11, 15]
+
+
+def test_views_of_a_written_build_read_its_levels_only(spark):
+    built = build_dataset(tables._all_tables(spark, SF), tables.pheno(spark, SF), tables._config(), tables.PATTERN,
+                          tables.EXCEPTION)
+    once = built.computed_once()
+    plan = once.cross_sections["adi"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "LeftSemi" in built.cross_sections["adi"]._jdf.queryExecution().optimizedPlan().toString()
+    counts = lambda b: sorted(map(tuple, views.subject_counts(b.longitudinal).collect()))
+    assert counts(once) == counts(built)

@@ -818,7 +818,7 @@ def a5(spark, sf):
 @query("dataset_build")
 def dataset_build(spark, sf):
     """Cohort, levels, longitudinal index and cross-sections in one build."""
-    built = build_dataset(_all_tables(spark, sf), pheno(spark, sf), _config(), PATTERN, EXCEPTION)
+    built = build_dataset(_all_tables(spark, sf), pheno(spark, sf), _config(), PATTERN, EXCEPTION).computed_once()
     sections = views.subject_counts(views.stack(built.cross_sections, [])).withColumn("part", F.lit("cross_section"))
     long = views.subject_counts(built.longitudinal).withColumn("part", F.lit("longitudinal"))
     return sections.unionByName(long)
