@@ -30,6 +30,8 @@ CUT_SAMPLE = 2048
 DEPTH = 5
 CHILD_BLOCK = 64
 PACK_ROWS = 1024
+#: Blocks up to which no levels are made between groups and blocks.
+FEW_BLOCKS = 1024
 #: Bytes of packs that a task gathers before it hands them on.
 OUT_BYTES = 4 << 20
 POOL = "pool"
@@ -299,6 +301,10 @@ def build(points: DataFrame, row_id: str, d: int, leaf_rows: int | None = None)
     blocks = written(placed.select("_node", "_part", "_path", row_id, "_x").groupBy("_node", "_part").applyInPandas(block, schema), "blocks")
     depth, n_blocks = len(cuts) + (1 if tiny else 2), blocks.count()
     nodes = blocks.select("_path", F.col("_cell").alias("_node"), *BOX)
+    if n_blocks <= FEW_BLOCKS:
+        # Every block is looked at from the group: few bounds, and no packs copied from level to level.
+        nodes = nodes.withColumn("_parent", F.get("_path", F.lit(0)))
+        return CellTree(blocks, [_children(nodes, d, True)], cuts, families, d, n_blocks, tiny, leaf_rows)
     levels = []
     for level in range(depth - 1, -1, -1):
         nodes = nodes.withColumn("_parent", F.get("_path", F.lit(level)))
@@ -366,8 +372,9 @@ def home_cells(tree: CellTree, queries: DataFrame, fill: bool) -> DataFrame:
                       ["_group", "_pattern"], "left")
         node = F.coalesce("_family", "_best")
     state = state.withColumn("_node", node).drop("_family", "_best").withColumn("_open", F.lit(True))
-    for found in tree.cuts:
-        state = _descend(state, found, tree.d, False).withColumn("_open", F.lit(True))
+    for i, found in enumerate(tree.cuts):
+        # One Python step a stage: a task that runs several at once holds the memory of all.
+        state = _descend(written(state, "homes") if i else state, found, tree.d, False).withColumn("_open", F.lit(True))
     return state.drop("_open")
 
 
@@ -420,12 +427,15 @@ def _visit(batches, fixed: Sequence[str], names: Sequence[str], d: int, k: int,
             yield table(out)
 
 
-def down(tree: CellTree, packed: DataFrame, k: int, fill: bool) -> DataFrame:
+def down(tree: CellTree, packed: DataFrame, k: int, fill: bool, tasks: int) -> DataFrame:
     """Packs of queries at every cell that may hold one of their k nearest rows:
-    ``_node`` becomes the block's name."""
+    ``_node`` becomes the block's name.  Each level is a stage of its own, as a
+    task that runs several Python steps at once holds the memory of all."""
     d, schema, names = tree.d, packed.schema, packed.columns
     fixed = [c for c in names if c not in ("_node", "_ids", "_m", "_far")]
     at = packed.withColumn("_node", F.col("_group"))
     for level in tree.levels:
+        if not tree.flat:
+            at = at.repartition(tasks, F.hash("_node", F.col("_ids")[0]))
         at = at.join(level, "_node").mapInPandas(lambda batches: _visit(batches, fixed, names, d, k, fill), schema)
     return at

@@ -82,3 +82,14 @@ def allow_wide(df, columns) -> None:
         conf.set(METHOD_LIMIT, "8000")
     if len(columns) > MANY_COLUMNS and conf.get(INFERENCE, "true") == "true":
         conf.set(INFERENCE, "false")
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for plans whose rows are whole blocks of a table, unless
+    the user has set a size.  A task holds a batch several times, outside of the
+    heap and in Python, so that Spark's 64 MB take about a GB of an executor."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "8m")
