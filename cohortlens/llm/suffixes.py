@@ -19,13 +19,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.session import written
+from cohortlens.session import bound_batches, written
 
 from .text import PIECE, _power, mix, slices, utf8
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text whose suffixes make up one bucket, on average.
 BUCKET_BYTES = 24 << 20
+#: Buckets to compare are so many times more, as an entry with its bytes is about four times one without.
+FINER = 4
 #: Ids of whole copies that may be broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -132,13 +134,13 @@ def suffix_entries(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _arrays(t, kind, wanted):
-    codes = [c for c, k in zip(t.column("codes").to_pylist(), kind) if k == wanted]
-    ids = [i for i, k in zip(t.column("ids").to_pylist(), kind) if k == wanted]
+    codes = [c.as_buffer() for c, k in zip(t.column("codes"), kind) if k == wanted]
+    ids = [i.as_buffer() for i, k in zip(t.column("ids"), kind) if k == wanted]
     return np.frombuffer(b"".join(codes), _U), np.frombuffer(b"".join(ids), np.int64)
 
 
 def _grams(t, kind, wanted):
-    return np.frombuffer(b"".join(g for g, k in zip(t.column("grams").to_pylist(), kind) if k == wanted), np.uint32)
+    return np.frombuffer(b"".join(g.as_buffer() for g, k in zip(t.column("grams"), kind) if k == wanted), np.uint32)
 
 
 class SuffixIndex:
@@ -211,27 +213,51 @@ class SuffixIndex:
         return made.where("kind < 3")
 
 
+def _strings(count: np.ndarray, chunks: Iterator[pa.Array]) -> np.ndarray:
+    """Hashes of all strings of entries with so many strings each, whose bytes are
+    in chunks, entry by entry.  Prefix sums take many times the bytes, so that they
+    are made for about ``PIECE`` bytes at a time."""
+    out, done, entry = np.empty(int(count.sum(dtype=np.int64)), _U), 0, 0
+    ends = np.cumsum(count.astype(np.int64) + LENGTH - 1)
+    before = 0
+    for chunk in chunks:
+        data, _ = utf8(chunk)
+        last = int(np.searchsorted(ends, before + len(data), "right"))
+        while entry < last:
+            begin = int(ends[entry - 1]) if entry else 0
+            to = min(last, max(entry + 1, int(np.searchsorted(ends, begin + PIECE, "right"))))
+            n, end = count[entry:to].astype(np.int64), ends[entry:to] - begin
+            total, down = _prefix(data[begin - before:begin - before + int(end[-1])])
+            size = int(n.sum())
+            start = np.repeat(end - n - LENGTH + 1 - (np.cumsum(n) - n), n) + np.arange(size)
+            out[done:done + size] = mix((total[start + LENGTH] - total[start]) * down[start])
+            done, entry = done + size, to
+        before += len(data)
+    return out
+
+
 def _compare(rows: DataFrame) -> DataFrame:
     """Of rows ``(bucket, codes, ids, left, count, bytes)`` per id and code a mask
-    of the strings that are in a text with a smaller id, by the position's place in them."""
+    of the strings that are in a text with a smaller id, by the position's place in
+    them.  Equal strings have it at the same place, so that places are taken one by one."""
     def compare(t):
         def get(name, kind):
-            return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
+            return np.frombuffer(b"".join(x.as_buffer() for x in t.column(name)), kind)
         code, ids, left, count = get("codes", _U), get("ids", np.int64), get("left", np.uint8), get("count", np.uint8)
-        total, down = _prefix(get("bytes", np.uint8))
-        size = count.astype(np.int64) + LENGTH - 1
-        base = np.concatenate(([0], np.cumsum(size)))[:-1]
-        entry = np.repeat(np.arange(len(code)), count)
-        step = np.arange(len(entry)) - np.repeat(np.concatenate(([0], np.cumsum(count.astype(np.int64))))[:-1], count)
-        start = base[entry] + step
-        string = mix((total[start + LENGTH] - total[start]) * down[start])
-        order = np.lexsort((ids[entry], string))
-        at = _begins(string[order])
-        least = np.empty(len(order), np.int64)
-        least[order] = np.repeat(ids[entry][order][at[:-1]], np.diff(at))
-        bit = np.where(least < ids[entry], _U(1) << (left[entry].astype(np.int64) - step).astype(_U), _U(0))
+        string = _strings(count, t.column("bytes").chunks)
+        first = np.cumsum(count, dtype=np.int64) - count
         mask = np.zeros(len(code), _U)
-        np.bitwise_or.at(mask, entry, bit)
+        for place in range(LENGTH - GRAM + 1):
+            step = left.astype(np.int16) - place
+            has = np.flatnonzero((step >= 0) & (step < count))
+            if not len(has):
+                continue
+            own, whose = string[first[has] + step[has]], ids[has]
+            order = np.argsort(own)
+            own, whose, has = own[order], whose[order], has[order]
+            at = _begins(own)
+            least = np.repeat(np.minimum.reduceat(whose, at[:-1]), np.diff(at))
+            mask[has[least < whose]] |= _U(1) << _U(place)
         some = mask != 0
         return pa.table({"id": ids[some], "code": code[some].astype(np.int64), "mask": mask[some].astype(np.int64)})
     return rows.groupBy("bucket").applyInArrow(compare, "id bigint, code bigint, mask bigint")
@@ -252,6 +278,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     each.  Whole copies of a text are set aside first.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     # Equal texts by two hashes and the size; only the first needs to be indexed.
     marked = docs.where("id IS NOT NULL").select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(17), "text").alias("h2"),
@@ -315,7 +342,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             hit = _places(row, code, asked, flat) >= 0
             row, s1, s2, at, key, code = (x[hit] for x in (row, s1, s2, at, key, code))
             # One of equal entries of a text is enough.
-            bucket = _bucket(key, buckets)
+            bucket = _bucket(key, buckets * FINER)
             order = np.lexsort((code, row, bucket))
             order = order[np.concatenate(([True], (np.diff(code[order].view(np.int64)) != 0) | (np.diff(row[order]) != 0)))] if len(order) else order
             rows, edge = [], _begins(bucket[order])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -329,6 +330,53 @@ def test_surroundings_with_half_a_hash_in_common_stay(spark):
         assert len(got) == 4 and all(r.n_removed == 0 for r in got)
 
 
+class _Grouped:
+    """Takes the function of a grouped step, to be called on a table."""
+
+    def groupBy(self, *_):
+        return self
+
+    def applyInArrow(self, function, _):
+        return function
+
+
+@pytest.mark.parametrize("chunks", [1, 7])
+def test_compared_entries_hold_a_few_times_their_bytes(chunks):
+    rng = np.random.default_rng(chunks)
+    passages = [rng.integers(97, 101, 300).astype(np.uint8).tobytes() for _ in range(40)]
+    own = [rng.integers(97, 101, 300).astype(np.uint8).tobytes() for _ in range(1500)]
+    texts = [o + passages[k % 40][k % 100:] + o[:k % 60] for k, o in enumerate(own)]
+    rows = []
+    for low in range(0, len(texts), 50):
+        data, offsets = text.utf8(pa.array(texts[low:low + 50], pa.binary()))
+        row, s1, s2, at, _, code = (np.concatenate(x) for x in zip(*suffixes.anchors(data, offsets)))
+        body = b"".join(data[p:q].tobytes() for p, q in zip(s1, s2 + 50))
+        rows.append((code.tobytes(), (row + low).astype(np.int64).tobytes(), (at - s1).astype(np.uint8).tobytes(), (s2 - s1 + 1).astype(np.uint8).tobytes(), body))
+    step = -(-len(rows) // chunks)
+    t = pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows[x:x + step])],
+                                                          ["codes", "ids", "left", "count", "bytes"]) for x in range(0, len(rows), step)])
+    first, entries = {}, []
+    for codes, ids, left, count, body in rows:
+        start = 0
+        for code, i, m, n in zip(np.frombuffer(codes, np.int64), np.frombuffer(ids, np.int64), left, count):
+            strings = [(m - j, body[start + j:start + j + 50]) for j in range(n)]
+            entries.append((int(i), int(code), strings))
+            for _, x in strings:
+                first[x] = min(first.get(x, i), i)
+            start += n + 49
+    want = sorted((i, code, mask) for i, code, strings in entries if (mask := sum(1 << o for o, x in strings if first[x] < i)))
+    suffixes._power(1)
+    compare = suffixes._compare(_Grouped())
+    tracemalloc.start()
+    got = compare(t)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert want and sorted(zip(*(got.column(x).to_pylist() for x in ("id", "code", "mask")))) == want
+    size = sum(len(r[-1]) for r in rows)
+    # Prefix sums are made for a piece at a time: three arrays of 8 bytes a byte of it, and its strings.
+    assert most < 6 * size + 40 * text.PIECE, (most, size)
+
+
 # ---- decontamination ---------------------------------------------------------------
 
 def best_distance(item, t):
