@@ -170,6 +170,12 @@ def _with(rows: DataFrame, small: DataFrame, keys, how: str = "inner") -> DataFr
     return rows.join(F.broadcast(small) if small.count() <= SUMMARY_ROWS else small, keys, how)
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by the keys to all tasks: adaptive execution joins partitions of
+    few bytes, and a few bytes of a node are much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _cuts(state: DataFrame, sizes: DataFrame, row_id: str, d: int, leaf_rows: int) -> DataFrame:
     """The split of every open node with more than ``leaf_rows`` rows."""
     drawn = state.select("_node", "_x", hash32(row_id, seed=11).alias("_draw"))
@@ -184,7 +190,7 @@ def _cuts(state: DataFrame, sizes: DataFrame, row_id: str, d: int, leaf_rows: in
         return pd.DataFrame({"_node": [pdf["_node"].iloc[0]], "_feature": [feature.tolist()], "_cut": [cut.tolist()],
                              "_mean": [mean.tolist()]})
 
-    return written(sample.select("_node", "_x", "_n").groupBy("_node").applyInPandas(split, CUTS), "cuts")
+    return written(_spread(sample.select("_node", "_x", "_n"), "_node").groupBy("_node").applyInPandas(split, CUTS), "cuts")
 
 
 def _descend(state: DataFrame, cuts: DataFrame, d: int, path: bool) -> DataFrame:
@@ -298,7 +304,8 @@ def build(points: DataFrame, row_id: str, d: int, leaf_rows: int | None = None)
                "_donors": x.tobytes(), **_limits(x)}
         return pd.DataFrame([row], columns=schema.names)
 
-    blocks = written(placed.select("_node", "_part", "_path", row_id, "_x").groupBy("_node", "_part").applyInPandas(block, schema), "blocks")
+    placed = _spread(placed.select("_node", "_part", "_path", row_id, "_x"), "_node", "_part")
+    blocks = written(placed.groupBy("_node", "_part").applyInPandas(block, schema), "blocks")
     depth, n_blocks = len(cuts) + (1 if tiny else 2), blocks.count()
     nodes = blocks.select("_path", F.col("_cell").alias("_node"), *BOX)
     if n_blocks <= FEW_BLOCKS:
@@ -310,7 +317,7 @@ def build(points: DataFrame, row_id: str, d: int, leaf_rows: int | None = None)
         nodes = nodes.withColumn("_parent", F.get("_path", F.lit(level)))
         levels.insert(0, _children(nodes, d, level in (0, depth - 1)))
         if level:
-            nodes = nodes.select(*NODE.names).groupBy("_parent").applyInPandas(_joined(d), NODE).drop("_parent")
+            nodes = _spread(nodes.select(*NODE.names), "_parent").groupBy("_parent").applyInPandas(_joined(d), NODE).drop("_parent")
             # Deep trees: a level is computed once.
             nodes = written(nodes, "nodes") if depth > 4 else nodes
     return CellTree(blocks, levels, cuts, families, d, n_blocks, tiny, leaf_rows)
@@ -343,10 +350,10 @@ def _children(nodes: DataFrame, d: int, many: bool) -> DataFrame:
 
     nodes = nodes.select("_parent", "_node", *BOX)
     if not many:
-        return nodes.groupBy("_parent").applyInPandas(gather, LEVEL)
+        return _spread(nodes, "_parent").groupBy("_parent").applyInPandas(gather, LEVEL)
     counts = nodes.groupBy("_parent").agg(F.ceil(F.count("*") / CHILD_BLOCK).cast("int").alias("_rows"))
     dealt = nodes.join(counts, "_parent").withColumn("_deal", F.pmod(hash32("_node"), F.col("_rows")))
-    return dealt.groupBy("_parent", "_deal").applyInPandas(gather, LEVEL)
+    return _spread(dealt, "_parent", "_deal").groupBy("_parent", "_deal").applyInPandas(gather, LEVEL)
 
 
 # ---- searching --------------------------------------------------------------
@@ -430,12 +437,16 @@ def _visit(batches, fixed: Sequence[str], names: Sequence[str], d: int, k: int,
 def down(tree: CellTree, packed: DataFrame, k: int, fill: bool, tasks: int) -> DataFrame:
     """Packs of queries at every cell that may hold one of their k nearest rows:
     ``_node`` becomes the block's name.  Each level is a stage of its own, as a
-    task that runs several Python steps at once holds the memory of all."""
+    task that runs several Python steps at once holds the memory of all.  Copies of
+    the children of few nodes keep every task busy."""
     d, schema, names = tree.d, packed.schema, packed.columns
     fixed = [c for c in names if c not in ("_node", "_ids", "_m", "_far")]
     at = packed.withColumn("_node", F.col("_group"))
     for level in tree.levels:
         if not tree.flat:
-            at = at.repartition(tasks, F.hash("_node", F.col("_ids")[0]))
-        at = at.join(level, "_node").mapInPandas(lambda batches: _visit(batches, fixed, names, d, k, fill), schema)
+            level = written(level, "level")
+            copies = max(1, -(-tasks // max(1, level.select("_node").distinct().count())))
+            level = level.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).repartition(tasks, "_node", "_copy")
+            at = at.withColumn("_copy", F.pmod(F.hash(F.col("_ids")[0]), F.lit(copies))).repartition(tasks, "_node", "_copy")
+        at = at.join(level, ["_node"] if tree.flat else ["_node", "_copy"]).mapInPandas(lambda batches: _visit(batches, fixed, names, d, k, fill), schema)
     return at

@@ -9,7 +9,9 @@ No row is ever copied per shuffle.
 A shuffle does not move labels either.  It is a keyed permutation of the ranks of
 a run's rows; with the labels sorted, the label at a permuted rank follows from
 how many rows have each label.  So a neighbour travels as its rank and its labels
-by k, and the task that votes computes its codes.
+by k, and the task that votes computes its codes.  One look-up gives the codes of all
+k, as the labels of every k are runs of the same ranks; a task has few runs, and
+permutes the ranks of one once.  Votes are counted in the bits of one number a query and k.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from .ordering import hash32, with_rank
 
 ROUNDS = 8
 CHUNK = 256
+#: Queries that vote at once by counts in bits, bytes of a run's permuted ranks that a
+#: task keeps, and parts of a run beyond which it permutes only what it meets.
+MORE, TABLE_BYTES, TABLE_PARTS = 2048, 64 << 20, 8
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -80,6 +85,60 @@ class Codes:
         return out
 
 
+class _Shuffles:
+    """The codes that the ranks of one run have in each shuffle, as places in a list of
+    the code combinations that occur."""
+
+    def __init__(self, codes: Codes, run: int, iterations: int, seed: int, keep: bool):
+        ends = [np.cumsum(h) for h in codes.held[run]]
+        self.n, self.cuts = int(ends[0][-1]), np.unique(np.concatenate(ends))
+        first = np.concatenate([[0], self.cuts])
+        self.combined = np.column_stack([np.searchsorted(e, first, "right") for e in ends]).astype(np.uint8)
+        self.key = lambda i: (seed * 1_000_003 + run) * 1_000_003 + i
+        self.kind = np.uint8 if len(first) <= 256 else np.uint16
+        self.table = None
+        if keep and self.n * iterations * self.kind().itemsize <= TABLE_BYTES:
+            self.table = [self._places(np.arange(self.n), i) for i in range(iterations)]
+
+    def _places(self, rank, i):
+        return np.searchsorted(self.cuts, permuted(rank, self.n, self.key(i)), "right").astype(self.kind)
+
+    def places(self, rank: np.ndarray, i: int) -> np.ndarray:
+        return self.table[i][rank] if self.table is not None else self._places(rank, i)
+
+
+def most_voted(tally: np.ndarray, most: int, width: int) -> np.ndarray:
+    """The code with the largest count, the smallest on ties, from counts of ``width`` bits."""
+    mask, best = np.uint64((1 << width) - 1), None
+    for v in range(most):
+        n = (tally >> np.uint64(v * width) & mask) << np.uint64(8) | np.uint64(255 - v)
+        best = n if best is None else np.maximum(best, n, out=best)
+    return (np.uint64(255) - (best & np.uint64(255))).astype(np.int64)
+
+
+def tables_of(codes: Codes, shuffles: _Shuffles, near_rank, near, rank, own, train: bool, iterations: int) -> np.ndarray:
+    """Counts of (truth, vote) for the labels as they are and for each shuffle, the
+    tables of all k one after the other, from the ranks and codes of some queries and
+    of the ``m`` neighbours each."""
+    m, size = near_rank.shape[1], np.array([len(v) for v in codes.values])
+    width, start = m.bit_length(), np.concatenate([[0], np.cumsum(size * size)])
+    bits = lambda c: np.left_shift(np.uint64(1), c.astype(np.uint64) * np.uint64(width))
+    ballots, out = bits(shuffles.combined), np.zeros((iterations + 1, start[-1]), np.int64)
+    own = own.astype(np.int64)
+    for i in range(iterations + 1):
+        if i == 0:
+            tally, truth = bits(near).sum(axis=1), own
+        else:
+            tally = ballots[shuffles.places(near_rank[:, 0], i - 1)]
+            for j in range(1, m):
+                tally += ballots[shuffles.places(near_rank[:, j], i - 1)]
+            # Test rows keep theirs in every shuffle.
+            truth = shuffles.combined[shuffles.places(rank, i - 1)].astype(np.int64) if train else own
+        vote = np.minimum(most_voted(tally, codes.most, width), size - 1)
+        out[i] = np.bincount((truth * size + vote + start[:-1]).ravel(), minlength=start[-1])
+    return out
+
+
 def known_codes(labels: DataFrame) -> Codes:
     """Counted by one small aggregate: runs x ks x labels rows, whatever the data."""
     rows = labels.groupBy("run", "k", "label").agg(F.count_if(F.col("split") == "train").alias("n")).collect()
@@ -122,12 +181,18 @@ def labelling_errors(labels: DataFrame, near: DataFrame, iterations: int, row_id
     codes = known_codes(labels)
     ranked = written(_ranked(labels, row_id, seed), "ranked")
     donors = ranked.where("split = 'train'").select("run", col(row_id).alias("neighbor_id"), F.struct("_r", "_l").alias("_d"))
-    # Few bytes, much work: a fixed number of partitions, which adaptive execution does not join.
-    tasks, query = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["run", "split", "query_id"]
-    gathered = near.join(donors, ["run", "neighbor_id"]).repartition(tasks, *query).groupBy(*query).agg(F.collect_list("_d").alias("_near"))
-    met = gathered.join(ranked.withColumnRenamed(row_id, "query_id"), ["run", "split", "query_id"]).select(
+    # A run is dealt to few tasks, each of which permutes its ranks once; few bytes, much
+    # work, so that the partitions are not joined.
+    cores = labels.sparkSession.sparkContext.defaultParallelism
+    parts, query = max(1, -(-2 * cores // max(1, len(codes.held)))), ["run", "_part", "split", "query_id"]
+    own = ranked.withColumnRenamed(row_id, "query_id").select("run", "split", "query_id", F.struct("_r", "_l").alias("_d"), F.lit(True).alias("_own"))
+    dealt = near.join(donors, ["run", "neighbor_id"]).select("run", "split", "query_id", "_d", F.lit(False).alias("_own")).unionByName(
+        own).withColumn("_part", F.pmod(hash32("query_id", seed=31), F.lit(parts)).cast("int"))
+    gathered = dealt.repartition(4 * parts * max(1, len(codes.held)), "run", "_part").groupBy(*query).agg(
+        F.collect_list(F.when(~F.col("_own"), F.col("_d"))).alias("_near"), F.max(F.when(F.col("_own"), F.col("_d"))).alias("_d"))
+    met = gathered.where((F.size("_near") > 0) & F.col("_d").isNotNull()).sortWithinPartitions("run", "split").select(
         "run", "split", F.transform("_near", lambda x: x["_r"]).alias("_near_r"),
-        F.flatten(F.transform("_near", lambda x: x["_l"])).alias("_near_l"), "_r", "_l")
+        F.flatten(F.transform("_near", lambda x: x["_l"])).alias("_near_l"), "_d._r", "_d._l")
     shape = (len(codes.ks), iterations + 1)
     size = [len(v) for v in codes.values]
 
@@ -136,10 +201,22 @@ def labelling_errors(labels: DataFrame, near: DataFrame, iterations: int, row_id
         return codes.shuffled(run, np.asarray(ranks, np.int64) - 1, own, iterations, seed)
 
     def count(batches):
-        totals = {}
+        totals, last, shuffles = {}, None, None
         for pdf in batches:
             lengths = pdf["_near_r"].map(len)
             for (run, split, m), part in pdf.groupby(["run", "split", lengths], sort=False):
+                if codes.most * int(m).bit_length() <= 64 and codes.most < 256:
+                    if run != last:
+                        last, shuffles = run, _Shuffles(codes, int(run), iterations, seed, parts <= TABLE_PARTS)
+                    for s in range(0, len(part), MORE):
+                        some = part.iloc[s:s + MORE]
+                        ranks = np.concatenate(some["_near_r"].to_list()).astype(np.int64).reshape(-1, m) - 1
+                        own = codes.of(np.array(some["_l"].to_list()).reshape(-1, shape[0]))
+                        there = codes.of(np.concatenate(some["_near_l"].to_list()).reshape(-1, shape[0])).reshape(-1, m, shape[0])
+                        found = tables_of(codes, shuffles, ranks, there, some["_r"].to_numpy(np.int64) - 1, own, split == "train", iterations)
+                        for k, cells in zip(codes.ks, np.split(found, np.cumsum([n * n for n in size])[:-1], axis=1)):
+                            totals[int(run), split, k] = totals.get((int(run), split, k), 0) + cells.ravel()
+                    continue
                 for s in range(0, len(part), CHUNK):
                     some = part.iloc[s:s + CHUNK]
                     there = all_labellings(int(run), np.concatenate(some["_near_r"].to_list()), some["_near_l"])

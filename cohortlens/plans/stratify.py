@@ -68,7 +68,8 @@ def run_validation(train: DataFrame, test: DataFrame, raw_test: DataFrame, featu
     numbers start at 1.
     """
     features = list(features)
-    slim = lambda df: df.select(row_id, *features)
+    # Fitting reads its rows several times, and may be given rows that are still to be imputed.
+    slim = lambda df: written(df.select(row_id, *features), "features")
     e_train, e_test = (written(x, "embedded") for x in stability.embed(
         slim(train), [slim(test)], features, config.embed_dims))
     axes = [c for c in e_train.columns if c != row_id]
