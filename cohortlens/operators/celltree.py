@@ -20,9 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.columns import SUMMARY_ROWS
+from ..functions.columns import SUMMARY_ROWS, col
 from ..session import written
 from .ordering import first_rows, hash32
 
@@ -147,19 +148,33 @@ def as_points(df: DataFrame, keep: Sequence[str], features: Sequence[str], lacki
     """``(*keep, _x, _pattern)``: features as bytes, and which of them are there."""
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("_x", T.BinaryType()),
                            T.StructField("_pattern", T.StringType())])
+    names, head, d = schema.names, len(keep), len(features)
 
     def pack(batches):
-        for pdf in batches:
-            x = np.ascontiguousarray(pdf[list(features)].to_numpy(dtype=float, na_value=np.nan))
-            there = np.isfinite(x)
-            some = ~there.all(axis=1) if lacking else np.ones(len(x), bool)
-            if not some.any():
+        for batch in batches:
+            x = np.empty((batch.num_rows, d))
+            for j in range(d):
+                x[:, j] = batch.column(head + j).to_numpy(zero_copy_only=False)
+            there, kept = np.isfinite(x), [batch.column(i) for i in range(head)]
+            if lacking:
+                some = ~there.all(axis=1)
+                x, there, kept = x[some], there[some], [c.filter(pa.array(some)) for c in kept]
+            if not len(x):
                 continue
-            out = {c: pdf[c].to_numpy(object if pdf[c].dtype.kind not in "biuf" else None)[some] for c in keep}
-            yield pd.DataFrame({**out, "_x": [r.tobytes() for r in x[some]],
-                                "_pattern": [b.tobytes().hex() for b in np.packbits(there[some], axis=1)]})
-
-    return df.mapInPandas(pack, schema)
+            bits = np.packbits(there, axis=1)
+            kinds, which = np.unique(bits.view(f"V{bits.shape[1]}").ravel(), return_inverse=True)
+            ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(8 * d)
+            held = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+            patterns = pa.array([k.tobytes().hex() for k in kinds]).take(pa.array(which.ravel()))
+            yield pa.RecordBatch.from_arrays([*kept, held, patterns], names)
+
+    values = [col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(features)]
+    rows = df.select(*[col(c) for c in keep], *values)
+    if lacking:
+        # Rows that lack nothing need not go to Python.
+        missing = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+        rows = rows.where(F.exists(F.array(*[f"_v{j}" for j in range(d)]), missing))
+    return rows.mapInArrow(pack, schema)
 
 
 CUTS = "_node string, _feature array<int>, _cut array<double>, _mean array<double>"

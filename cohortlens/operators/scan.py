@@ -108,6 +108,7 @@ class Tile(_Rows):
     def __init__(self, x, ids, middle, unit, k, fill):
         super().__init__(x, middle, unit)
         self.ids, self.unit, self.k, self.fill, self.pool, self.pooled = ids, unit, k, fill, [], 0
+        self._last = None
         nothing = lambda rows: np.where(rows[:, None], np.full(k, np.inf), -np.inf)
         every = np.ones(len(x), bool)
         if not fill:
@@ -130,6 +131,8 @@ class Tile(_Rows):
         (all: None); sets of gaps that some donors fill only in part are parted."""
         if not self.fill:
             return [(0, None)]
+        if self._last is not None and block.pure and self._last[0] == block.key:
+            return self._last[1]
         parted, out = [], []
         for gaps, best in self.known:
             kinds = {}
@@ -144,6 +147,7 @@ class Tile(_Rows):
                 out.append((i, None))
             elif able.any():
                 out.append((i, able))
+        self._last = (block.key, out) if block.pure else None
         return out
 
     def _within(self, dist):
@@ -256,19 +260,25 @@ class Tile(_Rows):
         if not self.pool:
             return np.zeros(0, int), np.zeros(0, object), np.zeros(0), np.zeros((0, 1), np.uint8), None
         r, ids, dist, bits = (np.concatenate(part) for part in zip(*self.pool))
+        far = np.max([best[:, -1] for _, best in self.known], axis=0)
+        some = dist <= far[r]
+        r, ids, dist, bits = r[some], ids[some], dist[some], bits[some]
         order = np.lexsort((np.unique(ids, return_inverse=True)[1].ravel(), dist, r))
         r, ids, dist, bits = r[order], ids[order], dist[order], bits[order]
         if not self.fill:
             keep, gaps = first_k(r, self.k), None
         else:
-            gaps = np.zeros((len(r), self.x.shape[1]), bool)
-            step = max(1, PAIRS_AT_ONCE * 64 // self.x.shape[1])
+            d, parts = self.x.shape[1], [part for part, _ in self.known]
+            one, gaps = [part[0] for part in parts], np.zeros((len(r), d), bool)
+            step = max(1, PAIRS_AT_ONCE * 64 // d)
             cut = [0]
             while cut[-1] < len(r):  # whole queries at a time
                 cut.append(int(np.searchsorted(r, r[min(cut[-1] + step, len(r)) - 1], "right")))
             for s, e in zip(cut, cut[1:]):
-                has = np.unpackbits(bits[s:e], axis=1, count=self.x.shape[1]).astype(bool)
-                gaps[s:e] = first_fills(has & ~self.there[r[s:e]], r[s:e], self.k)
+                has = np.unpackbits(bits[s:e], axis=1, count=d).astype(bool)
+                may = first_fills(has[:, one] & ~self.there[r[s:e]][:, one], r[s:e], self.k)
+                for part, fills in zip(parts, may.T):
+                    gaps[s:e, part] = fills[:, None]
             keep = gaps.any(axis=1)
             gaps = gaps[keep]
         return r[keep], ids[keep], dist[keep], bits[keep], gaps
@@ -355,7 +365,7 @@ def all_pairs(train: DataFrame, query: DataFrame, features: Sequence[str], k: in
     number = written(number, "numbers")
     pairs = number.agg(F.sum(F.col("_t").cast("double") * F.col("_q"))).first()[0] or 1.0
     worth = F.col("_t").cast("double") * F.col("_q")
-    cells = F.ceil(F.greatest(worth / F.lit(float(CELL_PAIRS)), worth / F.lit(pairs) * F.lit(2 * spark.sparkContext.defaultParallelism)))
+    cells = F.ceil(F.greatest(worth / F.lit(float(CELL_PAIRS)), worth / F.lit(pairs) * F.lit(4 * spark.sparkContext.defaultParallelism)))
     rows = max(TILE, CELL_BYTES // (8 * d))
     across = F.greatest(F.ceil(F.col("_q") / F.lit(rows)), F.round(F.sqrt(cells * F.col("_q") / F.col("_t"))), F.lit(1))
     grid = number.select("_group", across.cast("int").alias("_a"),
