@@ -7,7 +7,7 @@ reduces on the map side before it shuffles or spreads a group over buckets.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,6 +19,8 @@ SKETCH_ACCURACY = 10_000
 SMALL_GROUP = 5 * SKETCH_ACCURACY
 GRID = 1_000
 BUCKET_ROWS = 1_000_000
+#: Rows of a key from which brackets are read, and standard deviations of their ranks left on either side.
+SAMPLE, SAMPLE_SLACK = 20_000, 5
 
 
 def hash32(*cols, seed: int = 0) -> Column:
@@ -89,7 +91,52 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence
     return ranked.drop("_bucket", "_before", "_total")
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def rank_brackets(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                  spread: Callable[[Column, float], Column]) -> DataFrame:
+    """Values around a rank of each key: ``(*keys, _n, _b)``, ``_b`` an array of
+    ``(prob, pos, lo, hi, below, inside)``.  Between ``lo`` and ``hi`` are all values whose
+    rank is within ``spread(n, prob)`` of ``n * prob``; NULL is open; ``below`` values are
+    smaller, ``inside`` are not beyond either end.
+
+    The ends come from some SAMPLE drawn rows of a key and are counted over all
+    rows: one that leaves out a wanted rank is opened.  Unlike a sketch of each task,
+    which holds about as much as the task's rows, this moves a bounded part of a key.
+    """
+    keys, probs = list(keys), [float(p) for p in probs]
+    data = df.select(*keys, col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    counts = written(data.groupBy(*keys).agg(F.count("*").alias("_n")), "counts")
+    drawn = join_summary(data.withColumn("_draw", F.rand(17)), counts, keys).filter(F.col("_draw") * F.col("_n") < SAMPLE)
+    some = drawn.groupBy(*keys, "_n").agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+    n, m = F.col("_n").cast("double"), F.size("_s")
+
+    def ends(p):
+        wide = m * spread(n, p) / n + F.lit(SAMPLE_SLACK) * F.sqrt(m * F.lit(p * (1 - p))) + 2
+        left, right = F.floor(m * F.lit(p) - wide).cast("int"), F.ceil(m * F.lit(p) + wide).cast("int")
+        return F.struct(F.lit(p).alias("prob"), ((F.col("_n") - 1) * F.lit(p)).alias("pos"),
+                        F.when(left >= 0, F.get("_s", left)).alias("lo"), F.when(right < m, F.get("_s", right)).alias("hi"))
+
+    read = written(some.select(*keys, "_n", *[ends(p).alias(f"_b{i}") for i, p in enumerate(probs)]), "sample")
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    marked = join_summary(data, read, keys)
+    told = marked.groupBy(*keys).agg(*[x for i in range(len(probs)) for x in (
+        count(F.col("_v") < F.col(f"_b{i}.lo"), f"_l{i}"), count(F.col("_v") <= F.col(f"_b{i}.hi"), f"_h{i}"))])
+
+    def checked(i, p):
+        b = F.col(f"_b{i}")
+        # A key of which nothing was drawn has no ends.
+        lo = F.when(F.col(f"_l{i}") <= n * p - spread(n, p), b.lo)
+        hi = F.when(F.col(f"_h{i}") >= n * p + spread(n, p), b.hi)
+        below = F.when(lo.isNull(), 0).otherwise(F.col(f"_l{i}")).cast("bigint")
+        upto = F.when(hi.isNull(), F.col("_n")).otherwise(F.col(f"_h{i}")).cast("bigint")
+        return F.struct(F.lit(p).alias("prob"), ((F.col("_n") - 1) * F.lit(p)).alias("pos"), lo.alias("lo"), hi.alias("hi"),
+                        below.alias("below"), (upto - below).alias("inside"))
+
+    known = join_on_keys(counts, join_on_keys(read.drop("_n"), told, keys), keys, "left")
+    return written(known.select(*keys, "_n", F.array(*[checked(i, p) for i, p in enumerate(probs)]).alias("_b")), "brackets")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                    brackets: DataFrame | None = None) -> DataFrame:
     """Linearly interpolated quantiles per key: ``(*keys, prob, quantile)``.
 
     A selection by counts.  A mergeable sketch per key brackets each wanted rank;
@@ -100,7 +147,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     equal values or not.  The last pass counts the values below the bracket and
     sorts only those within, equal ones as one.  Keys with few rows use their
     full range as the bracket.  However large a key is, no task sorts more than
-    about SMALL_GROUP of its values.
+    about SMALL_GROUP of its values.  ``brackets`` that were made already
+    (``rank_brackets`` of the same rows and ``probs``) take the place of the sketches.
     """
     probs = [float(p) for p in probs]
     slack = 2.0 / SKETCH_ACCURACY
@@ -108,21 +156,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     keys = list(keys) or ["_all"]
     data = (df if keys != ["_all"] else df.withColumn("_all", F.lit(0))).select(
         *keys, col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    sketch = data.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_e"))
-    small = F.col("_n") <= SMALL_GROUP
-    # An end that is NULL is open to that side.
-    brackets = written(sketch.select(
-        *keys, "_n",
-        F.array(*[
-            F.struct(
-                F.lit(p).alias("prob"),
-                ((F.col("_n") - 1) * F.lit(p)).alias("pos"),
-                F.when(~small & F.lit(p > slack), F.col("_e")[i]).alias("lo"),
-                F.when(~small & F.lit(p < 1 - slack), F.col("_e")[len(probs) + i]).alias("hi"),
-            ) for i, p in enumerate(probs)]).alias("_b")), "brackets")
-    n = brackets.agg(F.max("_n")).first()[0] or 0
-    if 6 * n > SMALL_GROUP * SKETCH_ACCURACY:
+    if brackets is None:
+        brackets = _sketched(data, keys, probs, edges)
+        most = 6 * (brackets.agg(F.max("_n")).first()[0] or 0) / SKETCH_ACCURACY
+    else:
+        most = brackets.agg(F.max(F.array_max(F.col("_b.inside")))).first()[0] or 0
+        ends = lambda b: F.struct(*[b[c].alias(c) for c in ("prob", "pos", "lo", "hi")])
+        brackets = brackets.withColumn("_b", F.transform("_b", ends))
+    if most > SMALL_GROUP:
         brackets = _narrow(data, keys, brackets)
     joined = join_summary(data, brackets.select(*keys, "_b"), keys)
     # Below or inside, per (key, prob, value): equal values collapse before the
@@ -143,6 +184,24 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return out.select(*[k for k in slot if k != "_all"], quantile.alias("quantile"))
 
 
+def _sketched(data: DataFrame, keys: Sequence[str], probs: Sequence[float], edges: Sequence[float]) -> DataFrame:
+    """Brackets from the ``edges`` of a sketch of each key; an end that is NULL is
+    open to that side."""
+    slack = 2.0 / SKETCH_ACCURACY
+    sketch = data.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_e"))
+    small = F.col("_n") <= SMALL_GROUP
+    return written(sketch.select(
+        *keys, "_n",
+        F.array(*[
+            F.struct(
+                F.lit(p).alias("prob"),
+                ((F.col("_n") - 1) * F.lit(p)).alias("pos"),
+                F.when(~small & F.lit(p > slack), F.col("_e")[i]).alias("lo"),
+                F.when(~small & F.lit(p < 1 - slack), F.col("_e")[len(probs) + i]).alias("hi"),
+            ) for i, p in enumerate(probs)]).alias("_b")), "brackets")
+
+
 def _narrow(data: DataFrame, keys: Sequence[str], brackets: DataFrame) -> DataFrame:
     """Brackets with at most SMALL_GROUP rows strictly inside.
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import probability as P
-from ..functions.columns import col, to_long
+from ..functions.columns import col, join_summary, to_long
 from ..operators.missing import inject_mar, inject_mcar
 from ..operators.neighbors import impute_rows
-from ..operators.ordering import exact_quantiles, with_rank
+from ..operators.ordering import exact_quantiles, rank_brackets, with_rank
 from ..session import written
 
 QUANTILES = (0.25, 0.5, 0.75)
@@ -27,8 +27,19 @@ def mean_intervals(values: DataFrame, keys: Sequence[str], value: str = "value")
         *keys, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
+def rank_spread(n: Column, prob: float | Column) -> Column:
+    """Ranks on either side of ``n * prob`` beyond which no value has a weight."""
+    prob = F.lit(prob) if isinstance(prob, float) else prob
+    return 12 * F.sqrt(n * prob * (1 - prob)) + 40
+
+
+def interval_brackets(values: DataFrame, keys: Sequence[str], value: str = "value", probs: Sequence[float] = QUANTILES) -> DataFrame:
+    """Brackets of the values that ``quantile_intervals`` weights, and of the quantiles."""
+    return rank_brackets(values, keys, value, probs, lambda n, p: rank_spread(n, p) + 2)
+
+
 def quantile_intervals(values: DataFrame, keys: Sequence[str], value: str = "value",
-                       probs: Sequence[float] = QUANTILES) -> DataFrame:
+                       probs: Sequence[float] = QUANTILES, brackets: DataFrame | None = None) -> DataFrame:
     """95% intervals of quantiles with the Maritz-Jarrett standard error:
     ``(*keys, prob, low, high)``, around the (n + 1) p order-statistic estimate.
 
@@ -36,15 +47,23 @@ def quantile_intervals(values: DataFrame, keys: Sequence[str], value: str = "val
     distribution functions at its rank, so values need only their ranks: equal
     values collapse, and running counts come from value buckets.  Beyond 12
     standard deviations of the rank (and 40 ranks) those weights are below 1e-20
-    of the whole; only values within are weighted, about sqrt(n) of them.
+    of the whole; only values within are weighted, about sqrt(n) of them.  So only
+    values in ``brackets`` around the ranks are sorted, beside the count of those below.
     """
     keys = list(keys)
-    counted = values.filter(col(value).isNotNull()).groupBy(*keys, col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    ranked = with_rank(counted, keys, "_v", [], "_upto", "_n", span=None, weight="_c")
+    if brackets is None:
+        brackets = interval_brackets(values, keys, value, probs)
+    near = join_summary(values.select(*keys, col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()), brackets, keys)
+    near = near.select(*keys, "_n", "_v", F.explode("_b").alias("_b"))
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    near = near.filter((lo.isNull() | (F.col("_v") >= lo)) & (hi.isNull() | (F.col("_v") <= hi))).select(
+        *keys, "_n", "_v", "_b.prob", "_b.below")
+    counted = near.groupBy(*keys, "_n", "prob", "below", "_v").agg(F.count("*").alias("_c"))
+    ranked = with_rank(counted, [*keys, "prob"], "_v", [], "_inside", None, span=None, weight="_c")
+    ranked = ranked.withColumn("_upto", F.col("below") + F.col("_inside"))
     n, upto, before = F.col("_n").cast("double"), F.col("_upto"), F.col("_upto") - F.col("_c")
-    center, spread = n * F.col("prob"), 12 * F.sqrt(n * F.col("prob") * (1 - F.col("prob"))) + 40
-    each = ranked.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).filter(
-        (upto > center - spread) & (before < center + spread))
+    center, spread = n * F.col("prob"), rank_spread(n, F.col("prob"))
+    each = ranked.filter((upto > center - spread) & (before < center + spread))
     m = F.floor(F.col("prob") * n + 0.5)
     share = lambda x: P._vectorized(P.beta_cdf, (m - 1).cast("double"), (n - m).cast("double"), x)
     weight = F.when((m > 1) & (m < n), share(upto / n) - share(before / n))
@@ -95,8 +114,9 @@ def imputation_scores(base: DataFrame, complete: DataFrame, features: Sequence[s
                                                "low", "high").join(true_mean, "feature")
     name = F.concat(F.lit("q"), F.col("prob").cast("string")).alias("statistic")
     true_q = exact_quantiles(true, ["feature"], "value", QUANTILES).withColumnRenamed("quantile", "true")
-    found_q = exact_quantiles(found, keys, "value", QUANTILES).withColumnRenamed("quantile", "estimate")
-    quantiles = quantile_intervals(found, keys).join(found_q, [*keys, "prob"]).join(true_q, ["feature", "prob"]).select(
+    brackets = interval_brackets(found, keys)
+    found_q = exact_quantiles(found, keys, "value", QUANTILES, brackets).withColumnRenamed("quantile", "estimate")
+    quantiles = quantile_intervals(found, keys, brackets=brackets).join(found_q, [*keys, "prob"]).join(true_q, ["feature", "prob"]).select(
         "feature", "iteration", name, "estimate", "low", "high", "true")
     each = means.select("feature", "iteration", "statistic", "estimate", "low", "high", "true").unionByName(quantiles)
 

@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import celltree, neighbors, packed, scan
-from cohortlens.plans import stratify
+from cohortlens.operators import neighbors, ordering, packed, scan
+from cohortlens.plans import imputation_check, stratify
 
 D = 20
 
@@ -110,8 +110,8 @@ def test_a_row_is_copied_a_few_times_whatever_the_number_of_blocks(spark, monkey
     assert len(moved) == 1 and "_pattern" in moved[0].columns
     copies = moved[0].groupBy("_second").count().collect()
     each = {r["_second"]: r["count"] for r in copies}
-    # At most about two cells a core: neither queries nor donors meet that in copies of their own.
-    cells = 2 * spark.sparkContext.defaultParallelism
+    # At most about four cells a core: neither queries nor donors meet that in copies of their own.
+    cells = 4 * spark.sparkContext.defaultParallelism
     assert each[False] <= 600 * cells and each[True] <= 6000 * cells
     assert each[False] + each[True] <= 6000 * 4
 
@@ -150,3 +150,45 @@ def test_votes_in_bits_are_those_of_plain_counts(m, labels, keep):
     for i in range(iterations + 1):
         want = [np.bincount(truth[:, j, i].astype(int) * s + votes[:, j, i], minlength=s * s) for j, s in enumerate(sizes)]
         assert list(got[i]) == list(np.concatenate(want))
+
+
+def test_rows_without_gaps_stay_where_they_are(spark):
+    x = np.arange(60.0).reshape(20, 3)
+    x[4, 1] = np.nan
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(subjectkey=range(20)))
+    out = neighbors.impute_rows(df, df, ["a", "b", "c"], 2)
+    got = out.toPandas().sort_values("subjectkey")
+    x[4, 1] = (x[3, 1] + x[5, 1]) / 2
+    assert list(got["subjectkey"]) == list(range(20)) and np.array_equal(got[["a", "b", "c"]].to_numpy(), x)
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "one"])
+def test_brackets_hold_the_wanted_ranks_and_little_else(spark, kind):
+    rng = np.random.default_rng(11)
+    n = 60_000
+    x = rng.normal(size=n) if kind == "normal" else rng.integers(0, 5, n).astype(float) if kind == "ties" else np.full(n, 2.0)
+    df = spark.createDataFrame(pd.DataFrame({"g": [0] * n, "x": x}))
+    row = imputation_check.interval_brackets(df, ["g"], "x").first()
+    x.sort()
+    for b in row["_b"]:
+        spread = 12 * np.sqrt(n * b.prob * (1 - b.prob)) + 42
+        low, high = int(max(0, n * b.prob - spread)), int(min(n - 1, n * b.prob + spread))
+        assert b.below == (0 if b.lo is None else (x < b.lo).sum())
+        assert b.inside == (n if b.hi is None else (x <= b.hi).sum()) - b.below
+        assert (b.lo is None or b.lo <= x[low]) and (b.hi is None or b.hi >= x[high])
+        assert kind != "normal" or b.inside < n / 5
+    with_them = ordering.exact_quantiles(df, ["g"], "x", imputation_check.QUANTILES, spark.createDataFrame([row])).collect()
+    assert {r["prob"]: r["quantile"] for r in with_them} == {p: np.quantile(x, p) for p in imputation_check.QUANTILES}
+
+
+def test_a_bracket_that_misses_its_rank_is_opened(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SAMPLE", 50)
+    monkeypatch.setattr(ordering, "SAMPLE_SLACK", -3)
+    df = spark.createDataFrame(pd.DataFrame({"g": [0] * 5000 + [1] * 3, "x": np.arange(5003.0)}))
+    brackets = ordering.rank_brackets(df, ["g"], "x", [0.5], lambda n, p: F.lit(2.0))
+    opened = {r["g"]: r["_b"][0] for r in brackets.collect()}
+    assert opened[1].lo is None and opened[1].inside == 3
+    assert opened[0].lo is None or opened[0].lo <= 2497
+    got = {r["g"]: r["quantile"] for r in ordering.exact_quantiles(df, ["g"], "x", [0.5], brackets).collect()}
+    assert got == {0: 2499.5, 1: 5001.0}
